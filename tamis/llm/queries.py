@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and ORACLES.
-MODULES = ("decontaminate", "simhash")
+MODULES = ("decontaminate", "substrings", "simhash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,3 +101,11 @@ def get_array(uri: str) -> np.ndarray:
         return np.load(path, mmap_mode="r")
     with open_read(uri) as f:
         return np.load(io.BytesIO(f.read()))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished passes, which nothing reads again."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
