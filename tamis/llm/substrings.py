@@ -37,7 +37,7 @@ from tamis.llm.suffixes import BLOCK, LENGTH, Family, Level, level, run_keys, ru
 from tamis.llm.textbytes import flat, forget_powers, mix, pieces, prefix_hash, range_hash
 from tamis.tables import read
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 #: Runs that a task sorts together, and input bytes for which there is a bucket.
 BATCH_RUNS = 1 << 19
 BUCKET_BYTES = 6 << 20
@@ -166,7 +166,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, key: Column, text: str, buckets
     """Pass 2, texts: the bytes of asked runs, by bucket of their block; of hot blocks by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text", PIECE_BYTES):
             bucket, ids, firsts, blobs = [], [], [], []
             for doc, raw, list_ in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 data = raw.encode()
