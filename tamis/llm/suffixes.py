@@ -51,7 +51,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, block: int) -> tupl
 
 def run_keys(prefix: np.ndarray, first: np.ndarray, last: np.ndarray, picked: np.ndarray, length: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the shared block, and hash of the run's whole content with the block's place in it."""
-    key = range_hash(prefix, picked, picked + block)
+    # Picked blocks have small hashes, so they are hashed once more to spread evenly over buckets.
+    key = mix(range_hash(prefix, picked, picked + block) ^ np.uint64(0xA0761D6478BD642F))
     whole = range_hash(prefix, first, last + length)
     return key, mix(whole + (picked - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
