@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and ORACLES.
-MODULES = ("decontaminate", "substrings", "simhash", "warc", "quality", "ngrams", "licenses", "classifier")
+MODULES = ("decontaminate", "substrings", "simhash", "warc", "quality", "ngrams", "licenses", "classifier", "mixing", "chat")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
