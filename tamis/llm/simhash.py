@@ -91,20 +91,25 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(each, blocks - radius)]
 
 
+def spread(keyed: DataFrame, payload: list[str], name: str, tile: int) -> DataFrame:
+    """``payload`` and a job number, for work inside buckets (t, key) of at least two rows.
+
+    A bucket of more than ``tile`` rows is cut into tiles by the hash of ``name``; rows of two tiles
+    of a bucket meet in one job, and every pair of its tiles has one."""
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("rows_there")).where("rows_there > 1")
+    sizes = sizes.withColumn("tiles", F.ceil(F.col("rows_there") / tile).cast("int")).drop("rows_there")
+    placed = keyed.join(sizes, ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64(name, "t"), F.col("tiles")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("lo"), F.greatest("tile", o).alias("hi")))
+    work = placed.select(*payload, "t", "key", F.explode(every).alias("pair"))
+    return work.select(*payload, F.xxhash64("t", "key", "pair.lo", "pair.hi").alias("job"))
+
+
 def links(spark: SparkSession, nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
     """Edges (a, b) that connect all values of ``nodes.bits`` within the radius: stars, not all pairs."""
     masks = block_masks(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
-    # Buckets with at least two nodes, and into how many tiles each is cut.
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = keyed.join(sizes, ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64("bits", "t"), F.col("tiles")).cast("int"))
-    # A tile meets itself and each later tile: the pair's number is its place in the work list.
-    work = placed.select(
-        "bits", "t", "key", "tile",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("lo"), F.greatest("tile", o).alias("hi")))).alias("pair"),
-    )
-    tasks = work.select("bits", F.xxhash64("t", "key", "pair.lo", "pair.hi").alias("job"))
+    tasks = spread(keyed, ["bits"], "bits", TILE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
