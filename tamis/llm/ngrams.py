@@ -110,9 +110,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, before, size
 
 
-def bucket_count(docs: DataFrame) -> int:
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(size // BUCKET_BYTES, 16), 1 << 20))
+def bucket_count(docs: DataFrame, text: str) -> int:
+    size = shared.input_bytes(docs, text)
+    return int(min(max(size // BUCKET_BYTES, 8), 1 << 20))
 
 
 class Store:
@@ -173,6 +173,8 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def _count_words(docs: DataFrame, uri: str, buckets: int) -> DataFrame:
+    batch_tokens = BATCH_TOKENS
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list[np.ndarray]) -> pa.RecordBatch:
             (w,), c = tally(np.concatenate(held))
@@ -187,7 +189,7 @@ def _count_words(docs: DataFrame, uri: str, buckets: int) -> DataFrame:
             held.append(tokens(part.column("text"))[0])
             forget_powers(4 * PIECE_BYTES)
             size += len(held[-1])
-            if size >= BATCH_TOKENS:
+            if size >= batch_tokens:
                 yield send(held)
                 held, size = [], 0
         if held:
@@ -235,6 +237,8 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _count_pairs(docs: DataFrame, uri: str, buckets: int, hot: np.ndarray) -> DataFrame:
+    batch_tokens = BATCH_TOKENS
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             (v, w), c = tally(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
@@ -250,7 +254,7 @@ def _count_pairs(docs: DataFrame, uri: str, buckets: int, hot: np.ndarray) -> Da
             forget_powers(4 * PIECE_BYTES)
             held.append((v, w))
             size += len(w)
-            if size >= BATCH_TOKENS:
+            if size >= batch_tokens:
                 yield send(held)
                 held, size = [], 0
         if held:
@@ -298,7 +302,7 @@ def _sums(parts: DataFrame) -> list[int]:
 def train(spark: SparkSession, docs: DataFrame, *, text: str = "text") -> Model:
     """Count all rows of ``docs``.  The model's arrays stay in the shared folder until ``forget``."""
     own = docs.select(F.col(text).alias("text"))
-    buckets = bucket_count(own)
+    buckets = bucket_count(own, "text")
     uri = shared.scratch(spark, "model")
     words = shared.table(spark, _count_words(own, uri, buckets), f"{uri}/word-sums")
     shared.release(spark)

@@ -109,3 +109,24 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of a few numbers each that may be broadcast: some tens of megabytes.
+MOST_BROADCAST = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its counted rows are few, else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def input_bytes(df: DataFrame, text: str) -> int:
+    """About how large the input is: the optimizer's estimate, or the texts' bytes where it has none."""
+    from pyspark.sql import functions as F
+
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 55:
+        return size
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])

@@ -48,10 +48,10 @@ LAST_ID = np.iinfo(np.int64).max
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("tag", "<u2")])
 
 
-def bucket_count(docs: DataFrame) -> int:
+def bucket_count(docs: DataFrame, text: str) -> int:
     """Buckets in proportion to the input, by the optimizer's size estimate."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(size // BUCKET_BYTES, 32), 1 << 20))
+    size = shared.input_bytes(docs, text)
+    return int(min(max(size // BUCKET_BYTES, 8), 1 << 20))
 
 
 def _pack(entries: Level) -> np.ndarray:
@@ -84,6 +84,7 @@ VERDICT = "doc long, first int, last int, tag int"
 
 def _sample(docs: DataFrame, key: Column, text: str, buckets: int, length: int, block: int) -> DataFrame:
     """Pass 1, tasks: sorted runs by bucket; and, in rows without a bucket, runs repeated inside the task."""
+    batch_runs = BATCH_RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def _sample(docs: DataFrame, key: Column, text: str, buckets: int, length: int,
             held.append((a, b, ids[row], (first - offsets[row]).astype(np.uint32), ((last - first) | (picked - first) << 8).astype(np.uint16)))
             size += len(first)
             forget_powers(2 * PIECE_BYTES)
-            if size >= BATCH_RUNS:
+            if size >= batch_runs:
                 yield from send(held)
                 held, size = [], 0
         if held:
@@ -125,6 +126,7 @@ def _sample(docs: DataFrame, key: Column, text: str, buckets: int, length: int,
 
 def _settle(sampled: DataFrame, buckets: int) -> DataFrame:
     """Pass 1, buckets: runs that also stand earlier (tag -1), and first places of runs whose block stands in others too."""
+    hot = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families: dict[int, Family] = defaultdict(Family)
@@ -154,7 +156,7 @@ def _settle(sampled: DataFrame, buckets: int) -> DataFrame:
             if len(ask):
                 f = entries.at[ask].astype(np.int64)
                 t = entries.tag[ask].astype(np.int64)
-                yield _verdicts(entries.doc[ask], f, f + (t & 0xFF), (t >> 8) | (each[ask] > HOT).astype(np.int64) << 8)
+                yield _verdicts(entries.doc[ask], f, f + (t & 0xFF), (t >> 8) | (each[ask] > hot).astype(np.int64) << 8)
 
     return sampled.repartition(buckets, "bucket").mapInArrow(run, VERDICT)
 
@@ -237,7 +239,7 @@ def _windows(contexts: DataFrame, buckets: int, length: int) -> DataFrame:
 def repeated(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """(doc, spans): for each id (null as the last one) the starts, first to last, of windows that also stand earlier."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST_ID)))
-    buckets = bucket_count(docs.select(doc_id, text))
+    buckets = bucket_count(docs.select(doc_id, text), text)
     folder = shared.scratch(spark, "suffixes")
     settled = shared.table(spark, _settle(_sample(docs, key, text, buckets, length, block), buckets), f"{folder}/runs")
     shared.release(spark)
