@@ -31,8 +31,10 @@ from tamis.llm.textbytes import mix, pieces
 WIDTH = 5
 SIMILARITY = 0.8
 MINS = 8
-#: Bits by which texts of the wanted similarity may differ; measured pairs differ in 14 at most.
-WIDE = 20
+#: Texts of the wanted similarity have at least so many of MINS minima alike (all but one pair in 800
+#: at exactly 0.8), and fingerprints at most so many bits apart (measured pairs: 14).
+ALIKE = 3
+WIDE = 16
 TILE = 1 << 11
 _ORDERS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -62,26 +64,35 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 def _coarse(nodes: DataFrame) -> DataFrame:
     """Star edges between nodes that share a minimum and lie within the wide radius."""
-    keyed = nodes.select("node", "bits", F.posexplode("mins").alias("t", "key"))
-    tasks = spread(keyed, ["node", "bits"], "node", TILE)
+    keyed = nodes.select("node", "bits", "mins", F.posexplode("mins").alias("t", "key"))
+    tasks = spread(keyed, ["node", "bits", "mins"], "node", TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
         node, bits, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "bits", "job"))
+        mins = np.concatenate([b.column("mins").flatten().to_numpy() for b in got]).reshape(-1, MINS)
         order = np.lexsort((node, job))
-        node, bits, job = node[order], bits[order].view(np.uint64), job[order]
-        root = forest(len(node), pairs(bits, job, WIDE))
+        node, bits, mins, job = node[order], bits[order].view(np.uint64), mins[order], job[order]
+
+        def alike() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in pairs(bits, job, WIDE):
+                good = (mins[a] == mins[b]).sum(axis=1) >= ALIKE
+                yield a[good], b[good]
+
+        root = forest(len(node), alike())
         own = np.flatnonzero(root != np.arange(len(node)))
         yield pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
 
     return tasks.repartition("job").mapInArrow(run, "a long, b long")
 
 
-def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Star edges of texts (node, part, text) whose shingle sets are similar, inside each part."""
-    kind = "node long, t int, key long, bits long, n int, grams binary"
+GRAMS = "node long, t int, key long, bits long, n int, grams binary"
+
+
+def _shingled(members: DataFrame, width: int) -> DataFrame:
+    """Texts (node, part, text) as shingle sets, in a bucket for each part."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", PIECE_BYTES):
@@ -94,7 +105,12 @@ def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
                 names=["node", "t", "key", "bits", "n", "grams"],
             )
 
-    tasks = spread(members.select("node", "part", "text").mapInArrow(shingle, kind), ["node", "bits", "n", "grams"], "node", TILE)
+    return members.select("node", "part", "text").mapInArrow(shingle, GRAMS)
+
+
+def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
+    """Star edges of texts whose shingle sets are similar, inside each part."""
+    tasks = spread(shingled, ["node", "bits", "n", "grams"], "node", TILE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -129,10 +145,8 @@ def _verified(members: DataFrame, width: int, similarity: float) -> DataFrame:
     return tasks.repartition("job").mapInArrow(compare, "a long, b long")
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row, integer ids; component_id: the least doc_id of the group.
-
-    Two texts link if their sets of ``width``-word shingles have at least this Jaccard similarity."""
+def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """(id, component_id) of every row: two texts link if their sets of ``width``-word shingles have at least this Jaccard similarity."""
     folder = shared.scratch(spark, "neardup")
     # A null id stands last, so that it represents no other.
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
@@ -142,23 +156,36 @@ def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id",
     nodes = shared.table(spark, nodes, f"{folder}/nodes")
     star, made = components(spark, _coarse(nodes))
     tops = star.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()
-    members = star.select("node", F.col("component").alias("part")).union(tops)
-    texts = own.join(members, F.col("id") == F.col("node")).select("node", "part", "text").dropDuplicates(["node"])
-    links = shared.table(spark, _verified(texts, width, similarity), f"{folder}/links")
+    members = shared.table(spark, star.select("node", F.col("component").alias("part")).union(tops), f"{folder}/members")
+    texts = own.join(shared.broadcast_if_small(members), F.col("id") == F.col("node")).select("node", "part", "text")
+    # Rows that share an id: the set of the first, in the order of the sets.
+    sets = shared.table(spark, _shingled(texts, width), f"{folder}/sets")
+    if sets.count() > members.count():
+        sets = sets.groupBy("node", "t", "key").agg(F.min(F.struct("grams", "bits", "n")).alias("s")).select("node", "t", "key", "s.bits", "s.n", "s.grams")
+    links = shared.table(spark, _verified(sets, similarity), f"{folder}/links")
     shared.release(spark)
     final, more = components(spark, links)
     known = nodes.join(final, "node", "left").select("whole", F.coalesce("component", nodes.node).alias("component"))
     groups = shared.table(spark, marks.select("id", "whole").join(known, "whole").select("id", F.col("component").alias("component_id")), f"{folder}/groups")
-    shared.drop(spark, *made, *more, f"{folder}/nodes", f"{folder}/marks", f"{folder}/links")
-    last = F.lit((1 << 63) - 1)
-    return groups.select(F.nullif("id", last).alias(doc_id), F.nullif("component_id", last).alias("component_id"))
+    shared.drop(spark, *made, *more, f"{folder}/nodes", f"{folder}/marks", f"{folder}/links", f"{folder}/sets", f"{folder}/members")
+    return groups
+
+
+LAST = (1 << 63) - 1
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row, integer ids; component_id: the least doc_id of the group."""
+    found = _groups(spark, docs, doc_id, text, width, similarity)
+    return found.select(F.nullif("id", F.lit(LAST)).alias(doc_id), F.nullif("component_id", F.lit(LAST)).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with its own columns; of each group of near copies the document of least id stays."""
-    found = near_groups(spark, docs, doc_id=doc_id, text=text, width=width, similarity=similarity)
-    losers = found.where(~F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__loser")).distinct()
-    return docs.join(losers, F.col(doc_id).eqNullSafe(F.col("__loser")), "left_anti")
+    found = _groups(spark, docs, doc_id, text, width, similarity)
+    losers = shared.table(spark, found.where("id <> component_id").select(F.col("id").alias("__loser")).distinct(), shared.scratch(spark, "losers"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    return docs.join(shared.broadcast_if_small(losers), key == F.col("__loser"), "left_anti")
 
 
 QUERIES: dict = {}
