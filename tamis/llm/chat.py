@@ -191,8 +191,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
     vocabulary = load(spark)
     found = read_back(in_order(encode(rows.unionByName(probe), vocabulary)), vocabulary)
-    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens")
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 QUERIES = {"op10_chat": op10_chat}
-ORACLES: dict[str, str] = {}
+
+
+def _sql() -> str:
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    pattern = quoted(_ADD.pattern)  # each place gains one character
+    size = lambda c: f"length({c}) + len(regexp_extract_all({c}, {pattern}))"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {PROBE_ID}, 0, 'user', {quoted(PROBE_TEXT)} UNION ALL SELECT {PROBE_ID}, 1, 'assistant', {quoted(PROBE_TEXT)}),
+l AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{TRAINED_ROLE}'), '') AS loss,
+  CAST(sum({sum(map(len, MARKS))} + {size("role")} + {size("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM l"""
+
+
+ORACLES = {"op10_chat": _sql()}
