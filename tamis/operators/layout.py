@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.text import ZWNJ, bare_title, furniture_key, is_junk_title, is_list_item, join_lines, join_spans, strip, word_continues
+from tamis.functions.text import bare_title, furniture_key, is_junk_title, is_list_item, join_lines, join_spans, strip, word_continues
 
 BOLD_FLAG = 16
 ZONE = 0.12
-TABLE_OVERLAP = 0
 HEADING_WORDS, HEADING_RATIO, BOLD_SHARE = 16, 1.15, 0.3
 SIZE_JUMP, SHORT, VERY_SHORT, INDENT, LEAST_INDENT = 0.15, 0.72, 0.5, 0.04, 6.0
 SENTENCE_END = r"[.!?؟:؛…]$"

@@ -545,9 +545,6 @@ def split_bands(spark, sf_dir):
     return layout.split_by_bands(lines, bands).select("doc", "page", "line", "part")
 
 
-_BARE = s_strip(sub(s_strip("text"), "^[\"''«» ]+|[\"''«» ]+$".replace("''", "'")))
-
-
 @query()
 def first_page_title(spark, sf_dir):
     lines, _ = _geometry(spark, sf_dir)

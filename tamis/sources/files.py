@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tamis.functions.text import normalize, strip, title_of_name, word_count
 
 MOST_BYTES = 32 << 20
-DOCUMENT = "title string, content string, source_id string, kind string, notes array<string>"
 
 
 def _text(files: DataFrame) -> DataFrame:
