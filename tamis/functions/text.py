@@ -89,10 +89,18 @@ def clean_visible(text: Column, compose: bool = True) -> Column:
     return strip(split_bidi(F.regexp_replace(lines, SPACES, " ")))
 
 
+def rtl_count(text: Column) -> Column:
+    """Right-to-left characters, digits and marks too."""
+    return F.length(F.regexp_replace(text, f"[^{RTL}]", "")).cast("double")
+
+
+def other_letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, rf"[^\p{{L}}]|[{RTL}]", "")).cast("double")
+
+
 def rtl_ratio(text: Column) -> Column:
     """Right-to-left characters among these and other letters; 0 without any."""
-    rtl = F.length(F.regexp_replace(text, f"[^{RTL}]", "")).cast("double")
-    other = F.length(F.regexp_replace(text, rf"[^\p{{L}}]|[{RTL}]", "")).cast("double")
+    rtl, other = rtl_count(text), other_letters(text)
     return F.when(rtl + other > 0, rtl / (rtl + other)).otherwise(F.lit(0.0))
 
 

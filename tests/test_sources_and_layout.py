@@ -118,3 +118,26 @@ def test_spans_bands_titles(spark):
     assert [x.text for x in layout.splice_tables(body, tables).orderBy("seq").collect()] == ["Great Title", "table", "after"]
     pages = spark.createDataFrame([("d", 1), ("d", 2)], "doc string, page int")
     assert [x.page for x in layout.empty_pages(pages, lines, 10).collect()] == [2]
+
+
+def test_paged_documents(spark):
+    from tamis.sources import paged
+
+    rows, pages = [], []
+    for doc, words in (("en", "plain words of a line that goes on and on,"), ("fa", "این یک خط از متن است و ادامه دارد،")):
+        for p in range(1, 4):
+            pages.append((doc, p, 400.0))
+            rows.append((doc, p, 0, f"running head {p}", 40.0, 2.0, 300.0, 12.0, 10.0, False))
+            rows += [(doc, p, i, f"{words} {p} {i}", 40.0, 60.0 + 12 * i, 500.0, 70.0 + 12 * i, 10.0, False) for i in range(1, 4)]
+    lines = spark.createDataFrame(rows, "doc string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean")
+    page = spark.createDataFrame(pages, "doc string, page int, height double")
+    meta = spark.createDataFrame([("en", "a_b.pdf", "Untitled"), ("fa", "c.pdf", "The Title")], "doc string, name string, title string")
+    bands = spark.createDataFrame([("en", 2, 0, 150.0, 160.0)], "doc string, page int, band int, y0 double, y1 double")
+    tables = spark.createDataFrame([("en", 2, 0, "n: 1")], "doc string, page int, band int, text string")
+    assert {r.doc: r.rtl for r in paged.directions(lines).collect()} == {"en": False, "fa": True}
+    got = {r.source_id: r for r in paged.documents(lines, page, meta, bands, tables).collect()}
+    assert got["en"].title == "a b" and got["fa"].title == "The Title" and got["en"].kind == "pdf"
+    assert "running head" not in got["en"].content and "n: 1" in got["en"].content
+    assert [i for i in range(1, 4) if f"{i} 3" in got["en"].content] == [1, 2, 3]
+    assert got["en"].content.index("2 3") < got["en"].content.index("n: 1") < got["en"].content.index("3 1")
+    assert got["en"].notes == ["tables: 1"] and got["fa"].notes == []
