@@ -1,10 +1,10 @@
 """Near-duplicate documents: SimHash candidates, then exact similarity of word shingles.
 
-1. Sketch: one pass gives each text its SimHash, MINS minima of its shingle hashes under different
+1. Sketch: one pass gives each text its SimHash, SIGNS minima of its shingle hashes under different
    orders, and a hash of its words; equal texts become one node.
-2. Texts that share a minimum meet in a bucket (at a similarity of 0.8 all MINS minima differ for one
-   pair in 400,000), where fingerprints are compared on bit planes within a wide radius.  Stars of
-   what is near give coarse groups.
+2. Texts that share one of the first MINS minima meet in a bucket (at a similarity of 0.8 these all
+   differ for one pair in 400,000).  There fingerprints are compared on bit planes within a wide
+   radius, and pairs need some minima alike.  Stars of such pairs give coarse groups.
 3. Inside coarse groups, texts that bit planes find near are compared by their shingle sets; pairs
    that are already connected are not compared again.  Groups beyond TILE texts are cut into tiles.
 4. Components of the verified links are the groups.
@@ -25,22 +25,24 @@ from pyspark.sql import functions as F
 from tamis.llm import shared
 from tamis.llm.bitslice import forest, pairs
 from tamis.llm.components import components
-from tamis.llm.simhash import PIECE_BYTES, majorities, shingle_hashes, spread
+from tamis.llm.simhash import majorities, shingle_hashes, spread
 from tamis.llm.textbytes import mix, pieces
 
 WIDTH = 5
 SIMILARITY = 0.8
-MINS = 8
-#: Texts of the wanted similarity have at least so many of MINS minima alike (all but one pair in 800
-#: at exactly 0.8), and fingerprints at most so many bits apart (measured pairs: 14).
-ALIKE = 3
-WIDE = 16
+#: Minima of a text's sketch; texts meet where one of the first MINS is alike.
+MINS, SIGNS = 8, 16
+#: Texts of the wanted similarity have at least so many of SIGNS minima alike (at exactly 0.8 all but
+#: one pair in 100,000), and fingerprints at most so many bits apart (measured pairs: 14).
+ALIKE = 6
+WIDE = 20
 TILE = 1 << 11
-_ORDERS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1)
+PIECE_BYTES = 1 << 19
+_ORDERS = mix(np.arange(1, SIGNS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, whole, bits, mins) of every row."""
+    """(doc_id, whole, bits, mins, keys) of every row; the low halves of minima tell nearly as much as the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, text, PIECE_BYTES):
@@ -49,22 +51,23 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             size = np.array([len(x) for x in each], np.int64)
             h = np.concatenate(each)
             bits = majorities(h, size)
-            mins = np.zeros((len(each), MINS), np.uint64)
+            mins = np.zeros((len(each), SIGNS), np.uint32)
             full = np.flatnonzero(size)
             if len(full):
                 first = (np.cumsum(size) - size)[full]
                 for k, order in enumerate(_ORDERS):
-                    mins[full, k] = np.minimum.reduceat(mix(h ^ order), first)
+                    mins[full, k] = np.minimum.reduceat(mix(h ^ order), first) & np.uint64(0xFFFFFFFF)
             whole = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel()), MINS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([part.column(doc_id), pa.array(whole, pa.binary()), pa.array(bits.view(np.int64)), lists], names=[doc_id, "whole", "bits", "mins"])
+            lists = pa.array([x.tobytes() for x in mins], pa.binary())
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(mins[:, :MINS].astype(np.int64).ravel()), MINS).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([part.column(doc_id), pa.array(whole, pa.binary()), pa.array(bits.view(np.int64)), lists, keys], names=[doc_id, "whole", "bits", "mins", "keys"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, whole binary, bits long, mins array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, whole binary, bits long, mins binary, keys array<long>")
 
 
 def _coarse(nodes: DataFrame) -> DataFrame:
     """Star edges between nodes that share a minimum and lie within the wide radius."""
-    keyed = nodes.select("node", "bits", "mins", F.posexplode("mins").alias("t", "key"))
+    keyed = nodes.select("node", "bits", "mins", F.posexplode("keys").alias("t", "key"))
     tasks = spread(keyed, ["node", "bits", "mins"], "node", TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +75,7 @@ def _coarse(nodes: DataFrame) -> DataFrame:
         if not got:
             return
         node, bits, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "bits", "job"))
-        mins = np.concatenate([b.column("mins").flatten().to_numpy() for b in got]).reshape(-1, MINS)
+        mins = np.concatenate([np.frombuffer(b"".join(b.column("mins").to_pylist()), np.uint32) for b in got]).reshape(-1, SIGNS)
         order = np.lexsort((node, job))
         node, bits, mins, job = node[order], bits[order].view(np.uint64), mins[order], job[order]
 
@@ -108,6 +111,14 @@ def _shingled(members: DataFrame, width: int) -> DataFrame:
     return members.select("node", "part", "text").mapInArrow(shingle, GRAMS)
 
 
+def _views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The values of a binary column as arrays that share its memory."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
+
+
 def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
     """Star edges of texts whose shingle sets are similar, inside each part."""
     tasks = spread(shingled, ["node", "bits", "n", "grams"], "node", TILE)
@@ -117,7 +128,7 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
         if not got:
             return
         node, bits, size, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "bits", "n", "job"))
-        sets = [np.frombuffer(x.as_py(), np.uint64) for b in got for x in b.column("grams")]
+        sets = [x for b in got for x in _views(b.column("grams"))]
         order = np.lexsort((node, job))
         node, bits, size, job = node[order], bits[order].view(np.uint64), size[order], job[order]
         root = np.arange(len(node))
@@ -152,7 +163,7 @@ def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, width:
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     own = docs.select(key.alias("id"), F.col(text).alias("text"))
     marks = shared.table(spark, sketches(own, "id", "text", width), f"{folder}/marks")
-    nodes = marks.groupBy("whole").agg(F.min("id").alias("node"), F.any_value("bits").alias("bits"), F.any_value("mins").alias("mins"))
+    nodes = marks.groupBy("whole").agg(F.min("id").alias("node"), F.any_value("bits").alias("bits"), F.any_value("mins").alias("mins"), F.any_value("keys").alias("keys"))
     nodes = shared.table(spark, nodes, f"{folder}/nodes")
     star, made = components(spark, _coarse(nodes))
     tops = star.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()
