@@ -96,6 +96,12 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, *, page_id: str =
     return shared.table(spark, joined.mapInArrow(run, "file string, bytes long, records long"), f"{folder}/manifest")
 
 
+def task_count(manifest: DataFrame, span: int = SPAN_BYTES) -> int:
+    """Tasks for work on all archives: one a span.  The rows of such work are few and small, what they read is not."""
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return int(min(max(-(-total // span), 1), 1 << 16))
+
+
 def candidates(manifest: DataFrame, span: int = SPAN_BYTES) -> DataFrame:
     """(file, offset, successor) of every place in a file where a record header parses, real or not."""
     spans = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(span))).alias("start")).where("bytes > 0")
@@ -118,7 +124,7 @@ def candidates(manifest: DataFrame, span: int = SPAN_BYTES) -> DataFrame:
                 yield pa.record_batch([pa.array([name] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array([min(x, 2**62) for x in after], pa.int64()), pa.array([size] * len(own), pa.int64())], names=["file", "offset", "successor", "bytes"])
 
     # A span is a task's work; spans are dealt out evenly.
-    return spans.repartition("file", "start").mapInArrow(run, "file string, offset long, successor long, bytes long")
+    return spans.repartition(task_count(manifest, span), "file", "start").mapInArrow(run, "file string, offset long, successor long, bytes long")
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -156,7 +162,7 @@ def chain(found: DataFrame) -> DataFrame:
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def records(found: DataFrame, span: int = SPAN_BYTES, payloads: bool = True) -> DataFrame:
+def records(found: DataFrame, tasks: int, span: int = SPAN_BYTES, payloads: bool = True) -> DataFrame:
     """Read records at their offsets; of a revisit, what its header says of the payload."""
     work = found.groupBy("file", F.floor(F.col("offset") / span).alias("span")).agg(F.collect_list(F.struct("offset", "successor")).alias("at"))
 
@@ -179,13 +185,13 @@ def records(found: DataFrame, span: int = SPAN_BYTES, payloads: bool = True) ->
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
-    return work.mapInArrow(run, RECORD)
+    return work.repartition(tasks, "file", "span").mapInArrow(run, RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "warc")
     manifest = write(spark, read(spark, sf_dir, "pages"), folder)
-    found = records(chain(candidates(manifest)), payloads=False)
+    found = records(chain(candidates(manifest)), task_count(manifest), payloads=False)
     out = found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return out
 
