@@ -37,7 +37,7 @@ from tamis.tables import read
 PIECE_BYTES = 1 << 20
 #: Tokens that a counting task sorts together, and input bytes for which there is a bucket.
 BATCH_TOKENS = 1 << 21
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 HOT_SHARE = 256
 END = np.uint64(0x2545F4914F6CDD1D)
 BEGIN = np.uint64(0x5851F42D4C957F2D)
