@@ -19,7 +19,9 @@ def _ranges(*codes: int | tuple[int, int]) -> str:
 
 # Horizontal white space.
 HORIZONTAL = _ranges(0x09, (0x0B, 0x0D), (0x1C, 0x20), 0x85, 0xA0, 0x1680, (0x2000, 0x200A), (0x2028, 0x2029), 0x202F, 0x205F, 0x3000)
-SPACES = f"[{HORIZONTAL}]+"
+_NOT_SPACE = _ranges(0x09, (0x0B, 0x0D), (0x1C, 0x1F), 0x85, 0xA0, 0x1680, (0x2000, 0x200A), (0x2028, 0x2029), 0x202F, 0x205F, 0x3000)
+#: Runs that are not a single plain space already.
+SPACES = f"[{_NOT_SPACE}][{HORIZONTAL}]*| [{HORIZONTAL}]+"
 EDGES = rf"^[{HORIZONTAL}\n]+|[{HORIZONTAL}\n]+$"
 WORD = r"[\p{L}\p{N}_]"
 
@@ -61,8 +63,8 @@ def normalize(text: Column) -> Column:
 def tokenize(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Lower-cased words of two characters or more that are no stopwords, in order, repeats kept."""
     found = F.regexp_extract_all(F.lower(normalize(text)), F.lit(rf"[\p{{L}}\p{{N}}_{ZWNJ}]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    # A long list of literals becomes a hash set.
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords) if stopwords else F.length(w) > 1)
 
 
 def nfkc(text: Column) -> Column:

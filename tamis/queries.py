@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from tamis.functions import text as T
 from tamis.operators import chunking, dense, embed, evaluate, fusion, layout, lexical, policy
 from tamis.sources import files, web
-from tamis.tables import read
+from tamis.tables import read as read_table
+from tamis.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = read_table(spark, sf_dir, name)
+    return spread(table) if name in ("documents", "pages") else table
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

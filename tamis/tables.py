@@ -7,3 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 1 << 29) -> DataFrame:
+    """Deal a small table that lies in few row groups out to all cores, before heavy work on each row.
+
+    Tables of half a gigabyte and more have row groups enough and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if least <= size < most and df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(cores)
+    return df
