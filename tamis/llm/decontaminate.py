@@ -29,7 +29,7 @@ from tamis.tables import read
 
 WINDOW = 10
 #: Bytes of text in a shard, and phrases in a block.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 BLOCK_PHRASES = 1 << 16
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task should be small."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches between rows so that each holds about ``limit`` bytes of text; a longer row is alone."""
     for batch in batches:
@@ -38,6 +47,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             end = max(start + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    _powers.clear()
+    trim()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
