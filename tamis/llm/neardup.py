@@ -1,11 +1,12 @@
-"""Near-duplicate documents: SimHash candidates, then exact similarity of word shingles.
+"""Near-duplicate documents: candidates by minimum hashes, then exact similarity of word shingles.
 
-1. Sketch: one pass gives each text its SimHash, SIGNS minima of its shingle hashes under different
-   orders, and a hash of its words; equal texts become one node.
+1. Sketch: one pass gives each text SIGNS minima of its shingle hashes under different orders, and a
+   hash of its words; equal texts become one node.  Minima are those of the set of shingles, as the
+   similarity is: how often a shingle stands in a text changes nothing.
 2. Texts that share one of the first MINS minima meet in a bucket (at a similarity of 0.8 these all
-   differ for one pair in 400,000).  There fingerprints are compared on bit planes within a wide
-   radius, and pairs need some minima alike.  Stars of such pairs give coarse groups.
-3. Inside coarse groups, texts that bit planes find near are compared by their shingle sets; pairs
+   differ for one pair in 400,000).  There pairs need ALIKE minima alike.  Stars of such pairs give
+   coarse groups.
+3. Inside coarse groups, pairs with ALIKE minima alike are compared by their shingle sets; pairs
    that are already connected are not compared again.  Groups beyond TILE texts are cut into tiles.
 4. Components of the verified links are the groups.
 
@@ -23,75 +24,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import shared
-from tamis.llm.bitslice import forest, pairs
+from tamis.llm.bitslice import forest
 from tamis.llm.components import components
-from tamis.llm.simhash import majorities, shingle_hashes, spread
+from tamis.llm.simhash import shingle_hashes, spread
 from tamis.llm.textbytes import mix, pieces
 
 WIDTH = 5
 SIMILARITY = 0.8
 #: Minima of a text's sketch; texts meet where one of the first MINS is alike.
-MINS, SIGNS = 8, 16
-#: Texts of the wanted similarity have at least so many of SIGNS minima alike (at exactly 0.8 all but
-#: one pair in 100,000), and fingerprints at most so many bits apart (measured pairs: 14).
-ALIKE = 6
-WIDE = 20
+MINS, SIGNS = 8, 32
+#: Texts of the wanted similarity have at least so many of SIGNS minima alike: by the binomial tail
+#: at exactly 0.8, all but one pair in five million.
+ALIKE = 13
 TILE = 1 << 11
 PIECE_BYTES = 1 << 19
 _ORDERS = mix(np.arange(1, SIGNS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def minima(each: list[np.ndarray]) -> np.ndarray:
+    """(texts, SIGNS) least hashes of each text's shingles, one an order; zero where there are none."""
+    size = np.array([len(x) for x in each], np.int64)
+    h = np.concatenate(each)
+    out = np.zeros((len(each), SIGNS), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        first = (np.cumsum(size) - size)[full]
+        for k, order in enumerate(_ORDERS):
+            out[full, k] = np.minimum.reduceat(mix(h ^ order), first)
+    return out
+
+
+def _signs(mins: np.ndarray) -> pa.Array:
+    """Sixteen bits of each minimum tell nearly as much as the whole; what they confuse is only verified in vain."""
+    return pa.array([x.tobytes() for x in mins.astype(np.uint16)], pa.binary())
+
+
+def _unpacked(batches: list[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b"".join(b.column("mins").to_pylist()), np.uint16) for b in batches]).reshape(-1, SIGNS)
+
+
+def alike(mins: np.ndarray, job: np.ndarray, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) in one job (equal neighbours in ``job``) with at least ALIKE minima alike.
+
+    ``root``: a forest that the caller extends between pairs; what it connects by then is left out."""
+    n = len(mins)
+    ends = np.flatnonzero(np.append(job[1:] != job[:-1], True))
+    rest = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    active = np.arange(n)
+    for lag in range(1, int(rest.max(initial=0)) + 1):
+        active = active[rest[active] >= lag]
+        a = active
+        if root is not None:
+            while (root[root] != root).any():
+                root[:] = root[root]
+            a = a[root[a] != root[a + lag]]
+        # Eight flags a word: byte-wise sums, then the bytes of each word added up.
+        same = (mins[a] == mins[a + lag]).view(np.uint64)
+        count = (same.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+        a = a[count >= ALIKE]
+        if len(a):
+            yield a, a + lag
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, whole, bits, mins, keys) of every row; the low halves of minima tell nearly as much as the whole."""
+    """(doc_id, whole, mins, keys) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, text, PIECE_BYTES):
             texts = part.column(text).to_pylist()
-            each = [shingle_hashes(t, width) for t in texts]
-            size = np.array([len(x) for x in each], np.int64)
-            h = np.concatenate(each)
-            bits = majorities(h, size)
-            mins = np.zeros((len(each), SIGNS), np.uint32)
-            full = np.flatnonzero(size)
-            if len(full):
-                first = (np.cumsum(size) - size)[full]
-                for k, order in enumerate(_ORDERS):
-                    mins[full, k] = np.minimum.reduceat(mix(h ^ order), first) & np.uint64(0xFFFFFFFF)
+            mins = minima([shingle_hashes(t, width) for t in texts])
             whole = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            lists = pa.array([x.tobytes() for x in mins], pa.binary())
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(mins[:, :MINS].astype(np.int64).ravel()), MINS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([part.column(doc_id), pa.array(whole, pa.binary()), pa.array(bits.view(np.int64)), lists, keys], names=[doc_id, "whole", "bits", "mins", "keys"])
+            low = (mins[:, :MINS] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(low.ravel()), MINS).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([part.column(doc_id), pa.array(whole, pa.binary()), _signs(mins), keys], names=[doc_id, "whole", "mins", "keys"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, whole binary, bits long, mins binary, keys array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, whole binary, mins binary, keys array<long>")
 
 
 def _coarse(nodes: DataFrame) -> DataFrame:
-    """Star edges between nodes that share a minimum and lie within the wide radius."""
-    keyed = nodes.select("node", "bits", "mins", F.posexplode("keys").alias("t", "key"))
-    tasks = spread(keyed, ["node", "bits", "mins"], "node", TILE)
+    """Star edges between nodes that share a minimum and have enough of them alike."""
+    keyed = nodes.select("node", "mins", F.posexplode("keys").alias("t", "key"))
+    tasks = spread(keyed, ["node", "mins"], "node", TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        node, bits, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "bits", "job"))
-        mins = np.concatenate([np.frombuffer(b"".join(b.column("mins").to_pylist()), np.uint32) for b in got]).reshape(-1, SIGNS)
+        node, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "job"))
         order = np.lexsort((node, job))
-        node, bits, mins, job = node[order], bits[order].view(np.uint64), mins[order], job[order]
-
-        def alike() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b in pairs(bits, job, WIDE):
-                good = (mins[a] == mins[b]).sum(axis=1) >= ALIKE
-                yield a[good], b[good]
-
-        root = forest(len(node), alike())
+        node, job, mins = node[order], job[order], _unpacked(got)[order]
+        root = forest(len(node), alike(mins, job))
         own = np.flatnonzero(root != np.arange(len(node)))
         yield pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
 
     return tasks.repartition("job").mapInArrow(run, "a long, b long")
 
 
-GRAMS = "node long, t int, key long, bits long, n int, grams binary"
+GRAMS = "node long, t int, key long, mins binary, n int, grams binary"
 
 
 def _shingled(members: DataFrame, width: int) -> DataFrame:
@@ -100,12 +129,11 @@ def _shingled(members: DataFrame, width: int) -> DataFrame:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", PIECE_BYTES):
             each = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
-            bits = majorities(np.concatenate(each), np.array([len(x) for x in each], np.int64))
             sets = [np.unique(x) for x in each]
             zero = np.zeros(len(each), np.int32)
             yield pa.record_batch(
-                [part.column("node"), pa.array(zero), part.column("part"), pa.array(bits.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                names=["node", "t", "key", "bits", "n", "grams"],
+                [part.column("node"), pa.array(zero), part.column("part"), _signs(minima(sets)), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["node", "t", "key", "mins", "n", "grams"],
             )
 
     return members.select("node", "part", "text").mapInArrow(shingle, GRAMS)
@@ -121,16 +149,16 @@ def _views(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
     """Star edges of texts whose shingle sets are similar, inside each part."""
-    tasks = spread(shingled, ["node", "bits", "n", "grams"], "node", TILE)
+    tasks = spread(shingled, ["node", "mins", "n", "grams"], "node", TILE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        node, bits, size, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "bits", "n", "job"))
+        node, size, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "n", "job"))
         sets = [x for b in got for x in _views(b.column("grams"))]
         order = np.lexsort((node, job))
-        node, bits, size, job = node[order], bits[order].view(np.uint64), size[order], job[order]
+        node, size, job, mins = node[order], size[order], job[order], _unpacked(got)[order]
         root = np.arange(len(node))
 
         def find(i: int) -> int:
@@ -139,7 +167,7 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
                 i = root[i]
             return i
 
-        for a, b in pairs(bits, job, WIDE):
+        for a, b in alike(mins, job, root):
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             near = small >= similarity * large
             for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
@@ -163,7 +191,7 @@ def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, width:
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     own = docs.select(key.alias("id"), F.col(text).alias("text"))
     marks = shared.table(spark, sketches(own, "id", "text", width), f"{folder}/marks")
-    nodes = marks.groupBy("whole").agg(F.min("id").alias("node"), F.any_value("bits").alias("bits"), F.any_value("mins").alias("mins"), F.any_value("keys").alias("keys"))
+    nodes = marks.groupBy("whole").agg(F.min("id").alias("node"), F.any_value("mins").alias("mins"), F.any_value("keys").alias("keys"))
     nodes = shared.table(spark, nodes, f"{folder}/nodes")
     star, made = components(spark, _coarse(nodes))
     tops = star.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()
@@ -172,7 +200,7 @@ def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, width:
     # Rows that share an id: the set of the first, in the order of the sets.
     sets = shared.table(spark, _shingled(texts, width), f"{folder}/sets")
     if sets.count() > members.count():
-        sets = sets.groupBy("node", "t", "key").agg(F.min(F.struct("grams", "bits", "n")).alias("s")).select("node", "t", "key", "s.bits", "s.n", "s.grams")
+        sets = sets.groupBy("node", "t", "key").agg(F.min(F.struct("grams", "mins", "n")).alias("s")).select("node", "t", "key", "s.mins", "s.n", "s.grams")
     links = shared.table(spark, _verified(sets, similarity), f"{folder}/links")
     shared.release(spark)
     final, more = components(spark, links)

@@ -178,6 +178,26 @@ def test_near_groups(spark, odd, monkeypatch, tile):
     assert neardup.keep_one(spark, odd.limit(0)).count() == 0
 
 
+def test_near_groups_with_repeated_lines(spark):
+    docs = []
+    for i in range(12):  # the second text of each two says one line over and over: the sets stay alike
+        base = " ".join(f"w{random.Random(i).random()}{k}" for k in range(304))
+        line = f"an eight word footer stands here again {i} "
+        docs += [(2 * i, base), (2 * i + 1, base + " " + line * 30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.jaccard_groups(docs)
+    assert want == {i: i // 2 * 2 for i in range(24)}
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(spark, frame).collect()} == want
+
+
+def test_alike_pairs():
+    rng = np.random.default_rng(5)
+    job = np.sort(rng.integers(0, 6, 150))
+    mins = rng.integers(0, 3, (150, neardup.SIGNS)).astype(np.uint16)
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if job[i] == job[j] and (mins[i] == mins[j]).sum() >= neardup.ALIKE}
+    assert want and {(int(i), int(j)) for a, b in neardup.alike(mins, job) for i, j in zip(a, b, strict=True)} == want
+
+
 # ---- 4: LM ----
 
 
