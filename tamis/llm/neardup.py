@@ -10,7 +10,10 @@
    that are already connected are not compared again.  Groups beyond TILE texts are cut into tiles.
 4. Components of the verified links are the groups.
 
-Defined cases: as in simhash.py; texts without words are one group.
+Every row has a number of its own by which it is linked and removed; ids only choose who represents.
+
+Defined cases: as in simhash.py; texts without words are one group; of a group one row stays, that
+of least id (a null id last), and among rows of one id that of least hash of its words.
 """
 
 from __future__ import annotations
@@ -86,19 +89,19 @@ def alike(mins: np.ndarray, job: np.ndarray, root: np.ndarray | None = None) ->
             yield a, a + lag
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, whole, mins, keys) of every row."""
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(row, id, whole, mins, keys) of every row of docs (row, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, text, PIECE_BYTES):
-            texts = part.column(text).to_pylist()
+        for part in pieces(batches, "text", PIECE_BYTES):
+            texts = part.column("text").to_pylist()
             mins = minima([shingle_hashes(t, width) for t in texts])
             whole = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
             low = (mins[:, :MINS] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(low.ravel()), MINS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([part.column(doc_id), pa.array(whole, pa.binary()), _signs(mins), keys], names=[doc_id, "whole", "mins", "keys"])
+            yield pa.record_batch([part.column("row"), part.column("id"), pa.array(whole, pa.binary()), _signs(mins), keys], names=["row", "id", "whole", "mins", "keys"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, whole binary, mins binary, keys array<long>")
+    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, whole binary, mins binary, keys array<long>")
 
 
 def _coarse(nodes: DataFrame) -> DataFrame:
@@ -184,47 +187,55 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
     return tasks.repartition("job").mapInArrow(compare, "a long, b long")
 
 
-def _groups(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
-    """(id, component_id) of every row: two texts link if their sets of ``width``-word shingles have at least this Jaccard similarity."""
+ROW = "__row"
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` written down with a number for each row, the same in every pass."""
+    return shared.table(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), shared.scratch(spark, "rows"))
+
+
+def _groups(spark: SparkSession, rows: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """(row, id, component_id, first) of every row; first: the row that represents its group, component_id: the id of that.
+
+    Two texts link if their sets of ``width``-word shingles have at least this Jaccard similarity."""
     folder = shared.scratch(spark, "neardup")
+    own = rows.select(F.col(ROW).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    marks = shared.table(spark, sketches(own, width), f"{folder}/marks")
     # A null id stands last, so that it represents no other.
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    own = docs.select(key.alias("id"), F.col(text).alias("text"))
-    marks = shared.table(spark, sketches(own, "id", "text", width), f"{folder}/marks")
-    nodes = marks.groupBy("whole").agg(F.min("id").alias("node"), F.any_value("mins").alias("mins"), F.any_value("keys").alias("keys"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "whole", "row"))
+    nodes = marks.groupBy("whole").agg(F.min("row").alias("node"), least.alias("least"), F.any_value("mins").alias("mins"), F.any_value("keys").alias("keys"))
     nodes = shared.table(spark, nodes, f"{folder}/nodes")
     star, made = components(spark, _coarse(nodes))
     tops = star.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()
     members = shared.table(spark, star.select("node", F.col("component").alias("part")).union(tops), f"{folder}/members")
-    texts = own.join(shared.broadcast_if_small(members), F.col("id") == F.col("node")).select("node", "part", "text")
-    # Rows that share an id: the set of the first, in the order of the sets.
+    texts = own.join(shared.broadcast_if_small(members), F.col("row") == F.col("node")).select("node", "part", "text")
     sets = shared.table(spark, _shingled(texts, width), f"{folder}/sets")
-    if sets.count() > members.count():
-        sets = sets.groupBy("node", "t", "key").agg(F.min(F.struct("grams", "mins", "n")).alias("s")).select("node", "t", "key", "s.mins", "s.n", "s.grams")
     links = shared.table(spark, _verified(sets, similarity), f"{folder}/links")
     shared.release(spark)
     final, more = components(spark, links)
-    known = nodes.join(final, "node", "left").select("whole", F.coalesce("component", nodes.node).alias("component"))
-    groups = shared.table(spark, marks.select("id", "whole").join(known, "whole").select("id", F.col("component").alias("component_id")), f"{folder}/groups")
-    shared.drop(spark, *made, *more, f"{folder}/nodes", f"{folder}/marks", f"{folder}/links", f"{folder}/sets", f"{folder}/members")
+    joined = nodes.join(final, "node", "left").select("whole", "least", F.coalesce("component", nodes.node).alias("component"))
+    heads = joined.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    heads = shared.table(spark, heads, f"{folder}/heads")
+    known = joined.join(shared.broadcast_if_small(heads), "component", "left").select("whole", F.coalesce("head", "least").alias("head"))
+    found = marks.select("row", "id", "whole").join(known, "whole").select("row", "id", F.col("head.id").alias("component_id"), F.col("head.row").alias("first"))
+    groups = shared.table(spark, found, f"{folder}/groups")
+    shared.drop(spark, *made, *more, *[f"{folder}/{x}" for x in ("nodes", "marks", "links", "sets", "members", "heads")])
     return groups
 
 
-LAST = (1 << 63) - 1
-
-
 def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row, integer ids; component_id: the least doc_id of the group."""
-    found = _groups(spark, docs, doc_id, text, width, similarity)
-    return found.select(F.nullif("id", F.lit(LAST)).alias(doc_id), F.nullif("component_id", F.lit(LAST)).alias("component_id"))
+    found = _groups(spark, _numbered(spark, docs.select(doc_id, text)), doc_id, text, width, similarity)
+    return found.select(F.col("id").alias(doc_id), "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with its own columns; of each group of near copies the document of least id stays."""
-    found = _groups(spark, docs, doc_id, text, width, similarity)
-    losers = shared.table(spark, found.where("id <> component_id").select(F.col("id").alias("__loser")).distinct(), shared.scratch(spark, "losers"))
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    return docs.join(shared.broadcast_if_small(losers), key == F.col("__loser"), "left_anti")
+    """``docs`` with its own columns; of each group of near copies the row of least id stays."""
+    rows = _numbered(spark, docs)
+    found = _groups(spark, rows, doc_id, text, width, similarity)
+    losers = shared.table(spark, found.where("row <> first").select(F.col("row").alias("__loser")), shared.scratch(spark, "losers"))
+    return rows.join(shared.broadcast_if_small(losers), F.col(ROW) == F.col("__loser"), "left_anti").drop(ROW)
 
 
 QUERIES: dict = {}

@@ -190,6 +190,16 @@ def test_near_groups_with_repeated_lines(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_groups(spark, frame).collect()} == want
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    docs = [(1, a), (None, a + " more"), (None, b), (None, c), (None, c + " more"), (7, d), (7, e), (3, e + " more"), (2, None), (None, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, (r.text or "").removesuffix(" more")) for r in neardup.keep_one(spark, frame).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (None, b), (None, c), (7, d), (3, e), (2, "")], key=repr)
+    got = [(r.doc_id, r.component_id) for r in neardup.near_groups(spark, frame).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1), (None, 1), (None, None), (None, None), (None, None), (7, 7), (7, 3), (3, 3), (2, 2), (None, 2)], key=repr)
+
+
 def test_alike_pairs():
     rng = np.random.default_rng(5)
     job = np.sort(rng.integers(0, 6, 150))
