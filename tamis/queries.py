@@ -285,17 +285,17 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_BM} SELECT scope, token, df, round(idf, 6) AS idf FROM tokens")
 def bm25_idf(spark, sf_dir):
-    return lexical.index(_chunks(spark, sf_dir)).tokens.select("scope", "token", "df", F.round("idf", 6).alias("idf"))
+    return lexical.index(_chunks(spark, sf_dir), most_chunks=None).tokens.select("scope", "token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM} SELECT question_id, ord, round(score, 6) AS score FROM scores")
 def bm25_scores(spark, sf_dir):
-    return lexical.scores(lexical.index(_chunks(spark, sf_dir)), _questions(spark, sf_dir)).select("question_id", "ord", F.round("score", 6).alias("score"))
+    return lexical.scores(lexical.index(_chunks(spark, sf_dir), most_chunks=None), _questions(spark, sf_dir)).select("question_id", "ord", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM} SELECT question_id, ord, round(coverage, 6) AS coverage FROM coverage")
 def bm25_coverage(spark, sf_dir):
-    return lexical.coverage(lexical.index(_chunks(spark, sf_dir)), _questions(spark, sf_dir)).select("question_id", "ord", F.round("coverage", 6).alias("coverage"))
+    return lexical.coverage(lexical.index(_chunks(spark, sf_dir), most_chunks=None), _questions(spark, sf_dir)).select("question_id", "ord", F.round("coverage", 6).alias("coverage"))
 
 
 @query(f"WITH {_BM} SELECT question_id, ord, round(score, 6) AS score FROM endorsed")

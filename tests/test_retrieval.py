@@ -159,3 +159,14 @@ def test_evaluation(spark):
     assert {x.threshold: x.hits for x in evaluate.sweep(c, keys, th).collect()} == {0.2: 1, 0.95: 3}
     a = spark.createDataFrame([(0, "?"), (1, "the key"), (2, "?"), (3, "key, not from the document")], "question_id long, answer string")
     assert {x.outcome: x.answers for x in evaluate.answer_faults(a, evaluate.judged(c, keys), keys, "not from").collect()} == {"correct": 1, "ungrounded": 1, "retrieval": 1, "generation": 1}
+
+
+def test_bm25_queries_count_large_scopes(spark, tmp_path):
+    from tamis.queries import QUERIES
+
+    # 2,001 documents in one source: statistics, scores and coverage have no bound on a scope.
+    spark.range(2001).selectExpr("id AS doc_id", "concat('alpha beta', CAST(id % 7 AS STRING)) AS text", "'src0' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("SELECT 0L AS item_id, 'alpha gamma' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.token: r.df for r in QUERIES["bm25_idf"](spark, str(tmp_path)).collect()}["alpha"] == 2001
+    assert QUERIES["bm25_scores"](spark, str(tmp_path)).count() == 2001
+    assert QUERIES["bm25_coverage"](spark, str(tmp_path)).count() == 2001
