@@ -16,9 +16,9 @@ id, or earlier in the same one.
 Suffixes are ordered by hashed symbols, not by bytes: only equality at 100 bytes counts.  Nothing
 is capped, nothing is held by the driver, and each pass ends in a table of the shared folder.
 
-Defined cases: a null text is empty; a text below 100 bytes is kept whole; rows that share an id
-share their places (none is earlier than the other); a null id stands after all others; ids are
-integers.
+Defined cases: a null text is empty; a text below 100 bytes is kept whole; rows of one id and one
+text share their places (none is earlier than the other), rows of one id and different texts stand in
+the order of the texts' digests; null ids are one id that stands after all others; ids are integers.
 """
 
 from __future__ import annotations
@@ -236,14 +236,29 @@ def _windows(contexts: DataFrame, buckets: int, length: int) -> DataFrame:
     return contexts.repartition(buckets, "bucket").mapInArrow(run, VERDICT)
 
 
-def repeated(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(doc, spans): for each id (null as the last one) the starts, first to last, of windows that also stand earlier."""
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST_ID)))
-    buckets = bucket_count(docs.select(doc_id, text), text)
+KEY = "__key"
+
+
+def _keyed(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` and the place of each row's text: equal for rows of one id and one text, different for all others, in order."""
+    plain = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST_ID)))
+    if docs.groupBy(plain.alias("k")).count().where("count > 1").isEmpty():
+        return docs.withColumn(KEY, plain)
+    marked = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    places = marked.select("__id", "__digest").distinct().orderBy(F.col("__id").asc_nulls_last(), "__digest")
+    # Numbers rise along the sorted partitions, with gaps between them.
+    places = shared.table(spark, places.select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), F.monotonically_increasing_id().alias(KEY)), shared.scratch(spark, "places"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d"))
+    return marked.join(shared.broadcast_if_small(places), same).drop("__id", "__digest", "__i", "__d")
+
+
+def repeated(spark: SparkSession, docs: DataFrame, buckets: int, *, key: str = KEY, text: str = "text", length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """(doc, spans): for each key the starts, first to last, of windows that also stand earlier.  Rows of one key have one text."""
+    place = F.col(key)
     folder = shared.scratch(spark, "suffixes")
-    settled = shared.table(spark, _settle(_sample(docs, key, text, buckets, length, block), buckets), f"{folder}/runs")
+    settled = shared.table(spark, _settle(_sample(docs, place, text, buckets, length, block), buckets), f"{folder}/runs")
     shared.release(spark)
-    contexts = _contexts(docs, settled.where("tag >= 0"), key, text, buckets, length, block)
+    contexts = _contexts(docs, settled.where("tag >= 0"), place, text, buckets, length, block)
     seams = shared.table(spark, _windows(contexts, buckets, length), f"{folder}/seams")
     shared.release(spark)
     every = settled.where("tag < 0").select("doc", "first", "last").union(seams.select("doc", "first", "last"))
@@ -268,8 +283,11 @@ def cut(raw: bytes, spans: list[dict] | None, length: int) -> tuple[list[tuple[i
 
 
 def _with_spans(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
-    spans = repeated(spark, docs, doc_id=doc_id, text=text, length=length).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    return docs.join(spans, F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST_ID))) == F.col("__doc"), "left").drop("__doc")
+    keyed = _keyed(spark, docs, doc_id, text)
+    # Of the input itself: the optimizer takes a join to be as large as a product.
+    buckets = bucket_count(docs.select(doc_id, text), text)
+    spans = repeated(spark, keyed, buckets, text=text, length=length).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
+    return keyed.join(spans, F.col(KEY) == F.col("__doc"), "left").drop("__doc", KEY)
 
 
 def removed(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

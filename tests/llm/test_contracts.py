@@ -131,6 +131,18 @@ def test_substrings_ties_and_stage(spark, odd):
     assert out.schema == odd.schema and all(r.n_chars == len(r.text or "") for r in out.collect())
 
 
+def test_substrings_rows_that_share_an_id(spark):
+    x, y = passage(21, 60), passage(22, 60)
+    docs = [(5, "head " + x + " tail"), (5, y), (None, passage(23, 20) + x + y + passage(24, 300)), (None, x), (None, passage(25, 90) + y), (None, None), (1, passage(26, 40))]
+    places = sorted(docs, key=lambda d: (d[0] is None, d[0], hashlib.sha256((d[1] or "").encode()).digest()))
+    want = brute.repeats([(i, t) for i, (_, t) in enumerate(places)])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(substrings.removed(spark, frame), *C2)
+    assert any(w[2] for w in want)
+    assert sorted((repr(places[w[0]][0]), *w[1:]) for w in want) == sorted((repr(g[0]), *g[1:]) for g in got)
+    assert substrings.remove_repeats(spark, frame).count() > 0
+
+
 # ---- 3: SimHash ----
 
 
