@@ -18,17 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none (tests, one machine)."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="tamis-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    """The shared folder as a URI; a temporary one only where the session names none and all runs on one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tamis-")
+        sc.setCheckpointDir(named)
+    # A path without a scheme lies in the cluster's default file system, not on this machine.
+    path = sc._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -8,15 +8,19 @@ task writes archives of bounded size into the shared folder under names of its o
 Reading: a task scans a span of a file for the record magic and emits, for each place whose
 header parses, the offset at which its successor must begin.  Magic inside payloads is among these
 candidates; pointer jumping from the start of the file retains only what is reachable, which is
-exactly the records that were written.
-
-Defined cases: a null payload is empty; payloads below the bound are responses even if they
-repeat; rows that share an id: each is written, of equal payloads the one of smallest id (then the
-first written) is the response; a null id is never the response if another page has the payload.
+exactly the records that were written: their number must be the manifest's, or reading fails.
+
+Defined cases: a null payload or url is empty; payloads below the bound are responses even if they
+repeat.  A row is judged by its id and its payload together: rows of one id and different payloads
+are records of their own, rows of one id and one payload are alike, either all responses or all
+revisits of a smaller id.  A null id stands after all others: it revisits a page that has the
+payload, and is a response if only null ids have it.  Headers and urls may have any length.  An
+empty table gives no archive and no record; other columns of the input do not matter.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -35,41 +39,49 @@ MIN_REVISIT = 100
 #: An archive is closed beyond this size; a scan covers so much of a file.
 FILE_BYTES = 64 << 20
 SPAN_BYTES = 4 << 20
-#: No header is longer.
+#: A scan reads so much beyond its span, and more where a header goes on.
 HEADER_BYTES = 1 << 16
-LENGTH = re.compile(rb"^Content-Length: (\d+)$", re.M)
+LENGTH = re.compile(rb"\r\nContent-Length: (\d+)(?=\r\n)")
 DATE = "1970-01-01T00:00:00Z"
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """Names a payload of a page."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; a revisit keeps digest and length of its payload in the header."""
-    key = "null" if page_id is None else str(page_id)
+    """One record: a response holds an HTTP message, a revisit the digest and length of its payload in the header."""
     clean = re.sub(r"[\r\n]+", " ", url or "")
     lines = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{key}>",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         f"WARC-Target-URI: {clean}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
+    body = b""
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    body = payload if refers_to is None else b""
-    lines.append("Content-Type: application/http; msgtype=response" if refers_to is None else "Content-Type: application/http")
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+    else:
+        lines.append("Content-Type: application/http; msgtype=response")
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     lines.append(f"Content-Length: {len(body)}")
     return MAGIC + "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write all pages as WARC archives below ``folder``; returns their manifest (file, bytes, records)."""
-    rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    marks = rows.select("id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
-    firsts = marks.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    # Only pages with a twin need an answer; it is kept beside the archives, by id.
-    repeats = marks.join(firsts, "digest").where("id > first or id is null or first is null").select("id", "first")
-    twins = shared.table(spark, repeats.where("id is not null and first is not null").distinct(), f"{folder}/twins")
-    joined = rows.join(twins, "id", "left").select("id", "url", "html", "first")
+    html_ = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), html_.alias("html"), F.sha2(html_, 256).alias("digest"))
+    marks = rows.select("id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= min_revisit)
+    firsts = marks.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
+    # Only revisits need an answer; it is kept beside the archives, by id and payload.
+    repeats = marks.join(firsts, "digest").where("id > first or id is null").select(F.col("id").alias("twin"), F.col("digest").alias("twin_digest"), "first")
+    twins = shared.table(spark, repeats.distinct(), f"{folder}/twins")
+    same = F.col("id").eqNullSafe(F.col("twin")) & (F.col("digest") == F.col("twin_digest"))
+    joined = rows.join(shared.broadcast_if_small(twins), same, "left").select("id", "url", "html", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -83,9 +95,8 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, *, page_id: str =
             return out
 
         for batch in batches:
-            for i, u, h, f in zip(*(batch.column(k).to_pylist() for k in ("id", "url", "html", "first")), strict=True):
-                payload = h.encode()
-                held.append(record(i, u, payload, hashlib.sha256(payload).hexdigest(), f))
+            for i, u, h, d, f in zip(*(batch.column(k).to_pylist() for k in ("id", "url", "html", "digest", "first")), strict=True):
+                held.append(record(i, u, h.encode(), d, f))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield close()
@@ -102,29 +113,46 @@ def task_count(manifest: DataFrame, span: int = SPAN_BYTES) -> int:
     return int(min(max(-(-total // span), 1), 1 << 16))
 
 
+def _headers(data: bytes, until: int) -> tuple[list[int], list[int], list[int]]:
+    """Places before ``until`` where a record header parses, the end of each header, and its content length."""
+    ends = [m.start() for m in re.finditer(b"\r\n\r\n", data)]
+    lengths = [(m.start(), int(m[1])) for m in LENGTH.finditer(data)]
+    at, own, stops, sizes = data.find(MAGIC), [], [], []
+    while 0 <= at < until:
+        e = bisect.bisect(ends, at)
+        n = bisect.bisect(lengths, (at,))
+        if e < len(ends) and n < len(lengths) and lengths[n][0] < ends[e]:
+            own.append(at)
+            stops.append(ends[e] + 4)
+            sizes.append(lengths[n][1])
+        at = data.find(MAGIC, at + 1)
+    return own, stops, sizes
+
+
 def candidates(manifest: DataFrame, span: int = SPAN_BYTES) -> DataFrame:
     """(file, offset, successor) of every place in a file where a record header parses, real or not."""
-    spans = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(span))).alias("start")).where("bytes > 0")
+    spans = manifest.select("file", "bytes", "records", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(span))).alias("start")).where("bytes > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, size, start in zip(*(batch.column(k).to_pylist() for k in ("file", "bytes", "start")), strict=True):
+            for name, size, count, start in zip(*(batch.column(k).to_pylist() for k in ("file", "bytes", "records", "start")), strict=True):
                 end = min(start + span, size)
                 with shared.open_read(name) as f:
                     f.seek(start)
                     data = f.read(end - start + HEADER_BYTES)
-                at, own, after = data.find(MAGIC), [], []
-                while 0 <= at < end - start:
-                    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-                    length = LENGTH.search(data[at:stop].replace(b"\r\n", b"\n")) if stop > 0 else None
-                    if length:
-                        own.append(start + at)
-                        after.append(start + stop + 4 + int(length[1]) + 4)
-                    at = data.find(MAGIC, at + 1)
-                yield pa.record_batch([pa.array([name] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array([min(x, 2**62) for x in after], pa.int64()), pa.array([size] * len(own), pa.int64())], names=["file", "offset", "successor", "bytes"])
+                    last = data.rfind(MAGIC, 0, end - start + len(MAGIC) - 1)
+                    # The last header may go on beyond what was read.
+                    while last >= 0 and data.find(b"\r\n\r\n", last) < 0 and (more := f.read(HEADER_BYTES + len(data))):
+                        data += more
+                own, stops, sizes = _headers(data, end - start)
+                if start == 0 and own[:1] != [0]:
+                    raise ValueError(f"{name} does not begin with a record")
+                n = len(own)
+                after = [min(start + e + k + 4, 2**62) for e, k in zip(stops, sizes, strict=True)]
+                yield pa.record_batch([pa.array([name] * n, pa.string()), pa.array([start + x for x in own], pa.int64()), pa.array(after, pa.int64()), pa.array([count] * n, pa.int64())], names=["file", "offset", "successor", "records"])
 
     # A span is a task's work; spans are dealt out evenly.
-    return spans.repartition(task_count(manifest, span), "file", "start").mapInArrow(run, "file string, offset long, successor long, bytes long")
+    return spans.repartition(task_count(manifest, span), "file", "start").mapInArrow(run, "file string, offset long, successor long, records long")
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -154,6 +182,8 @@ def chain(found: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         real = reachable(group.column("offset").to_numpy(), group.column("successor").to_numpy())
+        if (want := group.column("records")[0].as_py()) is not None and int(real.sum()) != want:
+            raise ValueError(f"{group.column('file')[0]}: {int(real.sum())} records are reachable, {want} were written")
         return group.select(["file", "offset", "successor"]).filter(pa.array(real))
 
     return found.groupBy("file").applyInArrow(run, "file string, offset long, successor long")
@@ -176,12 +206,13 @@ def records(found: DataFrame, tasks: int, span: int = SPAN_BYTES, payloads: bool
                         raw = f.read(x["successor"] - x["offset"])
                         head, _, rest = raw.partition(b"\r\n\r\n")
                         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-                        body = rest[: int(fields["Content-Length"])]
-                        key = fields["WARC-Record-ID"][10:-1]
-                        refers = fields.get("WARC-Refers-To")
+                        # A response's body is an HTTP message, whose own head ends at the first blank line.
+                        body = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
+                        key = fields["WARC-Record-ID"].split(":")[2]
+                        refers = fields.get("WARC-Refers-To", "::").split(":")[2] or None
                         digest = hashlib.sha256(body).hexdigest() if refers is None else fields["WARC-Payload-Digest"][7:]
                         size = len(body) if refers is None else int(fields["X-Payload-Length"])
-                        rows.append((None if key == "null" else int(key), fields["WARC-Target-URI"], fields["WARC-Type"], refers and int(refers[10:-1]), size, digest, body if payloads else None))
+                        rows.append((None if key == "null" else int(key), fields["WARC-Target-URI"], fields["WARC-Type"], refers and int(refers), size, digest, body if payloads else None))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 

@@ -271,11 +271,50 @@ def test_warc_magic_in_payloads(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(b), hashlib.sha256(b).hexdigest())
         if i == 7:
             assert (r.record_type, r.refers_to) == ("revisit", 2)
-        elif i is not None:
+        elif i is None:
+            assert (r.record_type, r.refers_to) == ("revisit", 2)
+        else:
             assert (r.record_type, r.refers_to, bytes(r.payload)) == ("response", None, b)
     assert warc.records(warc.chain(warc.candidates(warc.write(spark, frame.limit(0), shared.scratch(spark, "w")))), 1).count() == 0
 
 
+def test_warc_rows_that_share_an_id(spark):
+    from tamis.llm import shared
+
+    a, b, c, z = "A" * 120, "B" * 130, "C" * 140, "Z" * 99
+    pages = [(3, a), (5, a), (5, b), (7, b), (7, c), (5, c), (9, c), (None, a), (None, "N" * 200), (None, "N" * 200), (3, a), (1, z), (2, z), (4, None)]
+    frame = spark.createDataFrame([(i, f"u{k}" * (40_000 if k == 3 else 1), h, 1, "x") for k, (i, h) in enumerate(pages)], "page_id long, url string, html string, id int, digest string").repartition(3)
+    manifest = warc.write(spark, frame, shared.scratch(spark, "w"))
+    read = warc.records(warc.chain(warc.candidates(manifest, span=1000)), 3, span=500).collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    first = {}
+    for i, h in pages:
+        if h and len(h) >= 100 and i is not None:
+            first[h] = min(first.get(h, i), i)
+    want = [(i, sha(h), "revisit", first[h]) if h in first and i != first[h] else (i, sha(h), "response", None) for i, h in pages]
+    assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in read), key=repr) == sorted(want, key=repr)
+    # Every payload is in some archive, and every revisit leads to a response that has it.
+    held = {(r.page_id, r.payload_digest): bytes(r.payload).decode() for r in read if r.record_type == "response"}
+    assert set(held.values()) == {h or "" for _, h in pages}
+    assert all((r.refers_to, r.payload_digest) in held for r in read if r.record_type == "revisit")
+
+
+def test_warc_fails_where_records_are_missing(spark):
+    from pyspark.errors import PythonException
+
+    from tamis.llm import shared
+
+    frame = spark.createDataFrame([(i, "u", "p" * (200 + i)) for i in range(9)], "page_id long, url string, html string").repartition(1)
+    manifest = warc.write(spark, frame, shared.scratch(spark, "w"))
+    name = manifest.first().file
+    with shared.open_read(name) as f:
+        raw = f.read()
+    at = raw.index(warc.MAGIC, len(raw) // 2)
+    shared.put_bytes(name, raw[:at] + b"X" + raw[at + 1 :])
+    with pytest.raises(PythonException, match="were written"):
+        warc.chain(warc.candidates(manifest)).count()
+
+
 def test_warc_pointer_jumping():
     r = random.Random(1)
     for _ in range(50):
