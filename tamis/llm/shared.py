@@ -8,9 +8,11 @@ retried task never meets half-written files of its predecessor.
 from __future__ import annotations
 
 import io
+import json
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -65,22 +67,28 @@ def _remote(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_bytes(uri: str, data: bytes) -> None:
-    """Write a file so that it appears whole or not at all."""
+def put_chunks(uri: str, chunks: Iterable) -> None:
+    """Write a file, piece by piece, so that it appears whole or not at all."""
     path = local_path(uri)
     if path is None:
         store, path = _remote(uri)
         store.create_dir(os.path.dirname(path), recursive=True)
         with store.open_output_stream(path) as out:
-            out.write(data)
+            for c in chunks:
+                out.write(c)
         return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "wb") as out:
-        out.write(data)
+        for c in chunks:
+            out.write(c)
     os.replace(part, path)
 
 
+def put_bytes(uri: str, data: bytes) -> None:
+    put_chunks(uri, [data])
+
+
 def open_read(uri: str):
     """A seekable binary reader of a shared file."""
     path = local_path(uri)
@@ -105,6 +113,39 @@ def get_array(uri: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
+def put_arrays(uri: str, arrays: dict[str, list[np.ndarray]]) -> None:
+    """One file of named arrays, each given in pieces, with a table of their places at its end."""
+
+    def chunks() -> Iterator:
+        table, at = {}, 0
+        for name, parts in arrays.items():
+            start = at
+            for p in parts:
+                raw = np.ascontiguousarray(p)
+                yield raw.data if raw.size else b""
+                at += raw.nbytes
+            table[name] = [start, at, parts[0].dtype.str]
+            yield b"\0" * (-at % 8)
+            at += -at % 8
+        foot = json.dumps(table).encode()
+        yield foot + len(foot).to_bytes(8, "little")
+
+    put_chunks(uri, chunks())
+
+
+def get_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of such a file: views of one memory map where the shared folder is mounted, else read."""
+    path = local_path(uri)
+    if path is not None:
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with open_read(uri) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    size = int.from_bytes(raw[-8:].tobytes(), "little")
+    table = json.loads(raw[-8 - size : -8].tobytes())
+    return {name: np.asarray(raw[a:b]).view(kind) for name, (a, b, kind) in table.items()}
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished passes, which nothing reads again."""
     import gc

@@ -111,13 +111,13 @@ def jaccard_groups(docs, width=5, similarity=0.8):
 
 
 def kneser_ney(docs, held_out):
-    """(n_tokens, n_known, train_tokens, base, score) of each document by a bigram model of the others."""
+    """(n_tokens, n_known, train_tokens, base, score) of each document by a trigram model of the others."""
     toks = {d: space_words(t) + ["</end>"] for d, t in docs}
-    uni, pairs = collections.Counter(), collections.Counter()
+    uni, tri = collections.Counter(), collections.Counter()
     for d, w in toks.items():
         if not held_out(d):
             uni.update(w)
-            pairs.update(zip(["<begin>", *w[:-1]], w, strict=True))
+            tri.update(zip(["<begin>", "<begin>", *w][: len(w)], ["<begin>", *w][: len(w)], w, strict=True))
     n, v = sum(uni.values()), len(uni)
 
     def disc(c):
@@ -128,26 +128,35 @@ def kneser_ney(docs, held_out):
         d3 = 3 - 4 * y * m[3] / m[2] if m[2] else 1.5
         return [0, min(max(1 - 2 * y * m[1] / m[0], 0), 1), min(max(2 - 3 * y * m[2] / m[1], 0), 2), min(max(d3, 0), 3)]
 
-    d2 = disc(list(pairs.values()))
-    context, cont = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
-    for (a, b), c in pairs.items():
-        context[a][0] += c
-        context[a][min(c, 3)] += 1
-        cont[b] += 1
-    d1, total = disc(list(cont.values())), sum(cont.values())
-    free = sum(d1[min(c, 3)] for c in cont.values()) / total if total else 1.0
-
-    def p(a, b):
-        low = (cont[b] - d1[min(cont[b], 3)]) / max(total, 1) + free / (v + 1)
-        if a not in context:
+    def level(counts):
+        """Counts of n-grams, what follows each context, counts one order lower by different words before, and discounts."""
+        after, lower = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
+        for g, c in counts.items():
+            after[g[:-1]][0] += c
+            after[g[:-1]][min(c, 3)] += 1
+            lower[g[1:]] += 1
+        return counts, after, lower, disc(list(counts.values()))
+
+    three, after3, pairs, d3 = level(tri)
+    two, after2, ones, d2 = level(pairs)
+    d1, total = disc(list(ones.values())), sum(ones.values())
+    free = sum(d1[min(c, 3)] for c in ones.values()) / total if total else 1.0
+
+    def p(g):
+        if len(g) == 1:
+            return (ones[g] - d1[min(ones[g], 3)]) / max(total, 1) + free / (v + 1)
+        counts, after, d = (three, after3, d3) if len(g) == 3 else (two, after2, d2)
+        low = p(g[1:])
+        if g[:-1] not in after:
             return low
-        s, c = context[a], pairs[(a, b)]
-        return (c - d2[min(c, 3)]) / s[0] + sum(d2[k] * s[k] for k in (1, 2, 3)) / s[0] * low
+        s, c = after[g[:-1]], counts[g]
+        return (c - d[min(c, 3)]) / s[0] + sum(d[k] * s[k] for k in (1, 2, 3)) / s[0] * low
 
     out = {}
     for d, w in toks.items():
         base = sum(math.log10((uni[x] + 1) / ((n + v + 1) or 1)) for x in w)
-        out[d] = len(w), sum(uni[x] > 0 for x in w), n, base, sum(math.log10(p(a, b)) for a, b in zip(["<begin>", *w[:-1]], w, strict=True))
+        logs = sum(math.log10(p(g)) for g in zip(["<begin>", "<begin>", *w][: len(w)], ["<begin>", *w][: len(w)], w, strict=True))
+        out[d] = len(w), sum(uni[x] > 0 for x in w), n, base, logs
     return out
 
 

@@ -240,8 +240,11 @@ def test_lm_small(spark, small):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_awkward_and_untrained(spark, odd, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 3, 1 << 22])
+def test_lm_awkward_and_untrained(spark, odd, monkeypatch, hot):
     monkeypatch.setattr(ngrams, "BATCH_TOKENS", 500)
+    monkeypatch.setattr(ngrams, "HOT_TOKENS", hot)  # 0: every word is spread
+    monkeypatch.setattr(ngrams, "layout", lambda docs, text: (5, 3))
     never = lambda d: False
     docs = odd.withColumn("held_out", F.lit(False))
     model = ngrams.train(spark, docs)
@@ -249,6 +252,29 @@ def test_lm_awkward_and_untrained(spark, odd, monkeypatch):
     ngrams.forget(spark, model)
     empty = ngrams.train(spark, docs.limit(0))
     check_scores(ngrams.score(empty, docs, keep=("doc_id", "held_out")).collect(), {d: (len(brute.space_words(t)) + 1, 0, 0, 0.0, 0.0) for d, t in pairs_of(odd)}, never)
+    assert ngrams.score(empty, docs.limit(0), keep=("doc_id", "held_out")).count() == 0
+
+
+def test_lm_opens_few_files_and_misses_none(spark, small, monkeypatch):
+    import os
+
+    monkeypatch.setattr(ngrams, "layout", lambda docs, text: (10_000, 1))  # parts far beyond what may be open
+    few = spark.createDataFrame(small.limit(20).toPandas()).coalesce(1)
+    monkeypatch.setattr(ngrams, "_dealt", lambda rows, parts: rows.select("kind", "part", "bucket", "blob").repartition(4, "part").sortWithinPartitions("part", "bucket"))
+    model = ngrams.train(spark, few)
+    scorer = ngrams.Scorer(model)
+    column = few.select("text").toArrow().column("text").combine_chunks()
+    h, size = ngrams.tokens(column)
+    before = len(os.listdir("/proc/self/fd"))
+    logs = scorer(h, size)[1]
+    assert len(os.listdir("/proc/self/fd")) - before <= 4 * ngrams.MOST_OPEN + 8 < sum(map(len, model.files.values()))
+    want = brute.kneser_ney(pairs_of(few), lambda d: False)
+    assert sorted(np.add.reduceat(logs, np.cumsum(size) - size).tolist()) == pytest.approx(sorted(x[4] for x in want.values()))
+    from tamis.llm import shared
+
+    os.remove(shared.local_path(f"{model.uri}/before/{min(model.files['before'])}"))
+    with pytest.raises(FileNotFoundError):
+        ngrams.Scorer(model)(h, size)
 
 
 # ---- 5: WARC ----
