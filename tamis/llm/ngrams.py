@@ -42,7 +42,7 @@ from tamis.llm.textbytes import LOWER, NONSPACE, flat, forget_powers, mix, piece
 from tamis.tables import read
 
 PIECE_BYTES = 1 << 20
-SCORE_BYTES = 1 << 22
+SCORE_BYTES = 1 << 21
 #: Tokens that a counting task sorts together; input bytes of a bucket, settled at once, and of a part, a file.
 BATCH_TOKENS = 1 << 21
 BUCKET_BYTES = 4 << 20
@@ -318,7 +318,7 @@ def _gather(blobs: list[bytes], *types: str) -> list[np.ndarray]:
 
 
 def _dealt(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.select("kind", "part", "bucket", "blob").repartition(parts, "part").sortWithinPartitions("part", "bucket")
+    return rows.select("kind", "part", "bucket", "blob").repartitionById(parts, "part").sortWithinPartitions("part", "bucket")
 
 
 class _Part:

@@ -260,7 +260,7 @@ def test_lm_opens_few_files_and_misses_none(spark, small, monkeypatch):
 
     monkeypatch.setattr(ngrams, "layout", lambda docs, text: (10_000, 1))  # parts far beyond what may be open
     few = spark.createDataFrame(small.limit(20).toPandas()).coalesce(1)
-    monkeypatch.setattr(ngrams, "_dealt", lambda rows, parts: rows.select("kind", "part", "bucket", "blob").repartition(4, "part").sortWithinPartitions("part", "bucket"))
+    monkeypatch.setattr(ngrams, "_dealt", lambda rows, parts: rows.select("kind", "part", "bucket", "blob").repartitionById(4, "part").sortWithinPartitions("part", "bucket"))
     model = ngrams.train(spark, few)
     scorer = ngrams.Scorer(model)
     column = few.select("text").toArrow().column("text").combine_chunks()
