@@ -43,8 +43,15 @@ HYPHENS = "-" + chr(0x2010)
 
 # Ranges of right-to-left characters.
 RTL = _ranges((0x590, 0x5FF), (0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFF))
-ARABIC_LETTER = _ranges((0x621, 0x64A), (0x66E, 0x6D3))
-LATIN_OR_DIGIT = r"A-Za-z0-9"
+
+# Arabic letters, and what is set apart from them: Latin letters and digits of any script in use.
+ARABIC_LETTER = _ranges((0x620, 0x64A), (0x671, 0x6D3))
+LATIN_OR_DIGIT = "0-9A-Za-z" + _ranges((0x660, 0x669), (0x6F0, 0x6F9))
+
+# Bullets, the digits of list numbers, and the letters of lettered items.
+BULLETS = r"\-*•▪◦‣–—"
+ITEM_DIGITS = "0-9٠-٩۰-۹"
+ITEM_LETTERS = "A-Za-zا-ی"
 
 THIN_WORDS = {"web": 120, "pdf": 40, "text": 40}
 
@@ -62,17 +69,25 @@ def normalize(text: Column) -> Column:
 
 def tokenize(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Lower-cased words of two characters or more that are no stopwords, in order, repeats kept."""
-    found = F.regexp_extract_all(F.lower(normalize(text)), F.lit(rf"[\p{{L}}\p{{N}}_{ZWNJ}]+"), F.lit(0))
+    # Of what normalizing does only the folds can change a word.
+    found = F.regexp_extract_all(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), F.lit(rf"[\p{{L}}\p{{N}}_{ZWNJ}]+"), F.lit(0))
     # A long list of literals becomes a hash set.
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*stopwords) if stopwords else F.length(w) > 1)
 
 
-def nfkc(text: Column) -> Column:
-    """Compatibility composition, which has no built-in: an Arrow UDF."""
+def _composed(value):
+    """NFKC of a text, or of every text in nested lists."""
+    if value is None:
+        return None
+    return unicodedata.normalize("NFKC", value) if isinstance(value, str) else [_composed(x) for x in value]
+
 
-    @F.pandas_udf("string")
+def nfkc(text: Column, kind: str = "string") -> Column:
+    """Compatibility composition, which has no built-in: an Arrow UDF, on texts or (nested) arrays of them."""
+
+    @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+        return values.map(_composed)
 
     return run(text)
 
@@ -83,12 +98,24 @@ def split_bidi(text: Column) -> Column:
     return F.regexp_replace(one, f"(?<=[{LATIN_OR_DIGIT}])(?=[{ARABIC_LETTER}])", " ")
 
 
+def _shown(text: Column) -> Column:
+    return F.translate(text, NO_BREAK + INVISIBLE, " ")
+
+
+def _tidy(text: Column) -> Column:
+    return strip(split_bidi(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), SPACES, " ")))
+
+
 def clean_visible(text: Column, compose: bool = True) -> Column:
     """Delete invisible marks, unify line ends and spaces, separate scripts.  ``compose``: NFKC as well."""
-    shown = F.translate(text, NO_BREAK + INVISIBLE, " ")
-    shown = nfkc(shown) if compose else shown
-    lines = F.regexp_replace(shown, "\r\n?", "\n")
-    return strip(split_bidi(F.regexp_replace(lines, SPACES, " ")))
+    shown = _shown(text)
+    return _tidy(nfkc(shown) if compose else shown)
+
+
+def clean_each(texts: Column, compose: bool = True) -> Column:
+    """The same for every text of an array."""
+    shown = F.transform(texts, _shown)
+    return F.transform(nfkc(shown, "array<string>") if compose else shown, _tidy)
 
 
 def rtl_count(text: Column) -> Column:
@@ -121,9 +148,10 @@ def word_continues(text: Column) -> Column:
 
 
 def is_list_item(text: Column) -> Column:
-    digits = "0-9٠-٩۰-۹"
+    """Begins with a bullet, a short number or a single letter with its mark, and a space."""
+    marks = (f"[{BULLETS}]", rf"\(?[{ITEM_DIGITS}]{{1,3}}[.)\-]", f"[{ITEM_LETTERS}][.)]")
     space = rf"[{HORIZONTAL}\n]"
-    return text.rlike(rf"^{space}*([-*•▪◦‣–—]{space}|\(?[{digits}]{{1,3}}[.)\-]{space}|[A-Za-zا-ی][.)]{space})")
+    return text.rlike(f"^{space}*({'|'.join(marks)}){space}")
 
 
 def join_lines(lines: Column) -> Column:
@@ -142,9 +170,13 @@ def join_lines(lines: Column) -> Column:
     return F.aggregate(F.transform(lines, strip), F.lit(""), add)
 
 
-def join_spans(spans: Column, rtl: Column, share: float = 0.25) -> Column:
-    """Text of a line from spans struct(text, x0, x1): a space where the gap exceeds ``share`` of a character."""
-    kept = F.filter(F.transform(spans, lambda s: F.struct(strip(s["text"]).alias("text"), s["x0"].alias("x0"), s["x1"].alias("x1"))), lambda s: s["text"] != "")
+def join_spans(spans: Column, rtl: Column, share: float = 0.25, compose: bool = True) -> Column:
+    """Text of a line from spans struct(text, x0, x1), cleaned: a space where the gap exceeds ``share`` of a character.
+
+    Spans without a place are left out."""
+    texts = clean_each(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), compose)
+    whole = F.zip_with(spans, texts, lambda s, t: F.struct(t.alias("text"), s["x0"].alias("x0"), s["x1"].alias("x1")))
+    kept = F.filter(whole, lambda s: (s["text"] != "") & s["x0"].isNotNull() & s["x1"].isNotNull())
     keyed = F.array_sort(F.transform(kept, lambda s, i: F.struct(F.when(rtl, -s["x0"]).otherwise(s["x0"]).alias("k"), i.alias("i"), s.alias("s"))))
 
     def text(o: Column) -> Column:
@@ -155,7 +187,7 @@ def join_spans(spans: Column, rtl: Column, share: float = 0.25) -> Column:
             width = (before["x1"] - before["x0"]) / F.greatest(F.lit(1), F.length(before["text"]))
             return F.when((i > 0) & (gap > share * width), F.concat(F.lit(" "), now["text"])).otherwise(now["text"])
 
-        return F.array_join(F.transform(o, piece), "")
+        return strip(F.regexp_replace(F.array_join(F.transform(o, piece), ""), SPACES, " "))
 
     return F.get(F.transform(F.array(keyed), text), F.lit(0))
 
@@ -164,21 +196,25 @@ def render(paragraphs: Column) -> Column:
     return F.array_join(F.filter(paragraphs, lambda p: strip(p) != ""), "\n\n")
 
 
-def render_table(rows: Column, rtl: Column) -> Column:
-    """Rows of nullable cells as text.  With a full first row: the header, then 'name: value' lines."""
-    clean = F.transform(rows, lambda r: F.transform(r, lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{HORIZONTAL}\n]+", " "))))
+def render_table(rows: Column, rtl: Column, compose: bool = True) -> Column:
+    """The lines of a table of nullable cells: with a full first row that header, then 'name: value' lines.
+
+    Cells are cleaned; rows and values that are empty then are left out."""
+    shown = F.transform(rows, lambda r: F.transform(r, lambda c: _shown(F.coalesce(c, F.lit("")))))
+    clean = F.transform(nfkc(shown, "array<array<string>>") if compose else shown, lambda r: F.transform(r, _tidy))
     full = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
     turned = F.when(rtl, F.transform(full, F.reverse)).otherwise(full)
 
-    def text(t: Column) -> Column:
+    def lines(t: Column) -> Column:
         head = F.get(t, F.lit(0))
         headed = (F.size(t) > 1) & F.forall(head, lambda c: c != "")
-        pairs = lambda r: F.array_join(F.filter(F.zip_with(head, r, lambda h, c: F.when(c != "", F.concat(F.coalesce(h, F.lit("")), F.lit(": "), c))), lambda x: x.isNotNull()), " | ")
-        body = F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), pairs)
+        pair = lambda h, c: F.when(h.isNotNull() & (c != ""), F.concat(h, F.lit(": "), c))
+        pairs = lambda r: F.array_join(F.filter(F.zip_with(head, r, pair), lambda x: x.isNotNull()), " | ")
+        body = F.filter(F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), pairs), lambda x: x != "")
         plain = F.transform(t, lambda r: F.array_join(F.filter(r, lambda c: c != ""), " | "))
-        return F.when(headed, F.array_join(F.concat(F.array(F.array_join(head, " | ")), body), "\n")).otherwise(F.array_join(plain, "\n"))
+        return F.when(headed, F.concat(F.array(F.array_join(head, " | ")), body)).otherwise(plain)
 
-    return F.get(F.transform(F.array(turned), text), F.lit(0))
+    return F.get(F.transform(F.array(turned), lines), F.lit(0))
 
 
 # Parts of titles that programs set by themselves, and customary openings that are no titles.

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tamis.functions.text import normalize
 
 SIZE, OVERLAP = 120, 16
-# From the widest break to none; a break stays at the end of its piece.
-BREAKS = ("\n\n", "\n", ". ", "! ", "؟ ", "؛ ", "، ", " ", "")
+# Breaks from the widest to none; a break stays at the end of its piece.
+BREAKS = ("\n\n", "\n", ". ", "؟ ", "! ", "؛ ", "، ", " ", "")
 DEFAULT_TITLE = "(untitled)"
 
 Length = Callable[[str], int]
@@ -22,13 +22,25 @@ def words(text: str) -> int:
     return len(text.split())
 
 
+def _cut(word: str, size: int, length: Length) -> list[str]:
+    """A word longer than a chunk, between characters: stretches that fit, of one character at least."""
+    out = []
+    while word:
+        n = len(word)
+        while n > 1 and length(word[:n]) > size:
+            n = max(1, min(n - 1, n * size // max(length(word[:n]), 1)))
+        out.append(word[:n])
+        word = word[n:]
+    return out
+
+
 def _pieces(text: str, size: int, length: Length, breaks: tuple[str, ...]) -> list[str]:
     """Pieces of at most ``size``, cut at the widest break that makes them fit; joined they are the text."""
     if length(text) <= size or not breaks:
         return [text]
     mark, rest = breaks[0], breaks[1:]
     if mark == "":
-        return [text]  # a word longer than a chunk stays whole
+        return _cut(text, size, length)
     parts = text.split(mark)
     out: list[str] = []
     for i, p in enumerate(parts):

@@ -12,13 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.functions.text import bare_title, furniture_key, is_junk_title, is_list_item, join_lines, join_spans, strip, word_continues
+from tamis.functions.text import bare_title, furniture_key, is_junk_title, is_list_item, join_lines, join_spans, rtl_ratio, strip, word_continues, word_count
 
 BOLD_FLAG = 16
+# Thresholds of layout, and the marks that end a sentence or a quotation.
 ZONE = 0.12
 HEADING_WORDS, HEADING_RATIO, BOLD_SHARE = 16, 1.15, 0.3
-SIZE_JUMP, SHORT, VERY_SHORT, INDENT, LEAST_INDENT = 0.15, 0.72, 0.5, 0.04, 6.0
-SENTENCE_END = r"[.!?؟:؛…]$"
+SIZE_JUMP, SHORT, VERY_SHORT, INDENT, LEAST_INDENT = 0.15, 0.72, 0.5, 0.02, 6.0
+SENTENCE_END = ".؟!?:؛;…"
+CLOSING = '»")'
+NO_HEADING_END = ".،؛,"
 LINE = ["doc", "page", "line", "text", "x0", "y0", "x1", "y1", "size", "bold"]
 
 
@@ -27,15 +30,17 @@ def is_bold(flags: Column, font: Column) -> Column:
 
 
 def span_lines(spans: DataFrame, rtl: Column | None = None) -> DataFrame:
-    """Lines of spans: the union of their boxes, the largest size, bold if all of them are."""
-    own = spans.where(F.col("x0").isNotNull() & (strip(F.coalesce("text", F.lit(""))) != ""))
-    grouped = own.groupBy("doc", "page", "block", "line").agg(
-        F.array_sort(F.collect_list(F.struct("span", "text", "x0", "x1"))).alias("s"),
+    """Lines of spans: the union of their boxes, the largest size, bold if all spans are, empty ones too.
+
+    ``rtl``: a column of ``spans`` or a constant.  Where spans have a block type, only text (0) counts."""
+    own = spans.where("type = 0") if "type" in spans.columns else spans
+    grouped = own.withColumn("__rtl", F.lit(False) if rtl is None else rtl).groupBy("doc", "page", "block", "line").agg(
+        F.array_sort(F.collect_list(F.struct("span", "text", "x0", "x1"))).alias("s"), F.first("__rtl").alias("__rtl"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.max("size").alias("size"), F.bool_and(is_bold(F.col("flags"), F.col("font"))).alias("bold"),
+        F.coalesce(F.max(F.when(F.col("size") > 0, F.col("size"))), F.lit(0.0)).alias("size"), F.bool_and(F.coalesce(is_bold(F.col("flags"), F.col("font")), F.lit(False))).alias("bold"),
     )
-    text = join_spans(F.transform("s", lambda s: F.struct(s["text"].alias("text"), s["x0"].alias("x0"), s["x1"].alias("x1"))), F.lit(False) if rtl is None else rtl)
-    return grouped.select("doc", "page", "block", "line", text.alias("text"), "x0", "y0", "x1", "y1", "size", "bold")
+    text = join_spans(F.transform("s", lambda s: F.struct(s["text"].alias("text"), s["x0"].alias("x0"), s["x1"].alias("x1"))), F.col("__rtl"))
+    return grouped.select("doc", "page", "block", "line", text.alias("text"), "x0", "y0", "x1", "y1", "size", "bold").where("text != ''")
 
 
 def _in_zone(zone: float) -> Column:
@@ -155,11 +160,12 @@ def in_reading_order(lines: DataFrame, rtl: bool = False) -> DataFrame:
 
 
 def is_heading(text: Column, size: Column, bold: Column, body: Column, bold_matters: Column) -> Column:
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    capitals = (letters >= 4) & (F.length(text) <= 80) & ~text.rlike(r"\p{Ll}") & text.rlike("[A-Z]")
-    few = F.size(F.split(strip(text), r"\s+")) <= HEADING_WORDS
-    big = (body > 0) & (size >= HEADING_RATIO * body)
-    return few & (strip(text) != "") & ~strip(text).rlike("[.،؛,]$") & (big | (bold_matters & bold & (size >= body)) | capitals)
+    """Few words without an ending mark that are large, or bold where bold is rare, or Latin capitals."""
+    own = strip(text)
+    capitals = (rtl_ratio(own) < 0.5) & (F.length(F.regexp_replace(own, "[^A-Z]", "")) >= 4) & ~own.rlike("[a-z]") & (F.length(own) <= 80)
+    few = (own != "") & (word_count(own) <= HEADING_WORDS) & ~own.rlike(f"[{NO_HEADING_END}]$")
+    large = (body > 0) & ((size >= HEADING_RATIO * body) | (bold_matters & bold & (size >= body)))
+    return few & (large | capitals)
 
 
 def _measure(lines: DataFrame) -> DataFrame:
@@ -182,7 +188,9 @@ def _measure(lines: DataFrame) -> DataFrame:
 
 
 def paragraphs(lines: DataFrame, rtl: bool = False) -> DataFrame:
-    """(doc, page, seq, text, kind) of lines with ``seq``: a break is decided from a line and the one before it."""
+    """(doc, page, seq, text, kind) of lines with ``seq``: a break is decided from a line and the one before it.
+
+    A page without lines has no paragraphs, and a paragraph without text is left out."""
     m = _measure(lines)
     back = Window.partitionBy("doc", "page").orderBy("seq")
     head = is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("__body"), F.col("__bold"))
@@ -198,7 +206,7 @@ def paragraphs(lines: DataFrame, rtl: bool = False) -> DataFrame:
     before = was(F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")))
     jump = (F.col("__body") > 0) & (was("size") > 0) & (F.col("size") > 0) & (F.abs(F.col("size") - was("size")) / F.col("__body") > SIZE_JUMP)
     limit = F.col("__lead") + F.greatest(F.col("__height") * 0.5, F.lit(1.5))
-    ended = strip(was("text")).rlike(SENTENCE_END)
+    ended = strip(was("text")).rlike(f"[{SENTENCE_END}]$")
     starts = (
         was("text").isNull() | F.col("__head") | F.col("__list") | was("__head") | jump
         | (~open_word & indented)
@@ -221,7 +229,7 @@ def merge_pages(parts: DataFrame) -> DataFrame:
     was = lambda c: F.lag(c).over(line)
     runs_on = (
         (was("page") != F.col("page")) & (was("kind") == "body") & (F.col("kind") == "body")
-        & ~F.regexp_replace(was("text"), r"\s+$", "").rlike(r"[.!?؟:؛…»\")]$") & ~F.col("text").rlike(r"^\p{Lu}")
+        & ~strip(was("text")).rlike(f"[{SENTENCE_END}{CLOSING}]$") & ~F.col("text").rlike(r"^\p{Lu}")
     )
     numbered = p.withColumn("__n", F.sum(F.when(F.coalesce(runs_on, F.lit(False)), 0).otherwise(1)).over(line))
     grouped = numbered.groupBy("doc", "__n").agg(F.array_sort(F.collect_list(F.struct("__r", "page", "text", "kind"))).alias("l"))
@@ -249,8 +257,9 @@ def split_by_bands(lines: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def splice_tables(parts: DataFrame, tables: DataFrame) -> DataFrame:
-    """Paragraphs (doc, page, part, seq, text, kind) and rendered tables (doc, page, band, text) in the order of the page."""
-    t = tables.select("doc", "page", F.col("band").alias("part"), F.lit(1 << 30).alias("seq"), "text", F.lit("table").alias("kind"))
+    """Paragraphs (doc, page, part, seq, text, kind) and the lines of tables (doc, page, band, lines) in the order of the page."""
+    rows = tables.select("doc", "page", "band", F.posexplode("lines").alias("at", "text"))
+    t = rows.select("doc", "page", F.col("band").alias("part"), (F.col("at") + (1 << 30)).alias("seq"), "text", F.lit("table").alias("kind"))
     order = Window.partitionBy("doc", "page").orderBy("part", "seq")
     return parts.select("doc", "page", "part", "seq", "text", "kind").unionByName(t).withColumn("seq", F.row_number().over(order)).drop("part")
 
@@ -260,11 +269,10 @@ def first_page_title(lines: DataFrame) -> DataFrame:
     first = lines.where("page = 1")
     top = Window.partitionBy("doc").orderBy("y0", "line")
     page = Window.partitionBy("doc")
-    ranked = first.withColumn("__r", F.row_number().over(top)).withColumn("__n", F.count("*").over(page)).withColumn("__body", F.median(F.when(F.col("size") > 0, F.col("size"))).over(page))
-    bare = bare_title(F.col("text"))
+    ranked = first.withColumn("__r", F.row_number().over(top)).withColumn("__n", F.count("*").over(page)).withColumn("__body", F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(page), F.lit(0.0)))
     good = (
         (F.col("__r") <= F.greatest(F.lit(12), F.floor(F.col("__n") / 4))) & (F.col("size") > HEADING_RATIO * F.col("__body"))
-        & (bare != "") & (F.size(F.split(bare, r"\s+")) <= HEADING_WORDS) & ~is_junk_title(F.col("text"))
+        & (word_count(F.col("text")).between(1, HEADING_WORDS)) & ~is_junk_title(F.col("text"))
     )
     return ranked.where(good).groupBy("doc").agg(F.max_by(bare_title(F.col("text")), F.struct("size", -F.col("y0"), -F.col("line"))).alias("title"))
 

@@ -22,14 +22,16 @@ SCORE_FLOOR, COVERAGE_FLOOR, ADDITIONS = 0.35, 0.35, 3
 class Index:
     """Tables of a lexical index.  Keys: scope; scope, ord; scope, token."""
 
-    postings: DataFrame  # scope, ord, token, tf
+    postings: DataFrame  # scope, ord, token, tf, length
     lengths: DataFrame  # scope, ord, text, length
     tokens: DataFrame  # scope, token, idf
     scopes: DataFrame  # scope, n, average, max_idf
 
 
-def index(chunks: DataFrame, *, scoped: bool = True, stopwords: tuple[str, ...] = STOPWORDS, most_chunks: int | None = MOST_CHUNKS) -> Index:
-    """Count tokens.  A scope of more than ``most_chunks`` chunks has no index; None: any size has."""
+def index(chunks: DataFrame, *, scoped: bool = True, stopwords: tuple[str, ...] = STOPWORDS, most_chunks: int | None = MOST_CHUNKS, asked: DataFrame | None = None) -> Index:
+    """Count tokens.  A scope of more than ``most_chunks`` chunks has no index; None: any size has.
+
+    ``asked`` (scope, token): only these tokens are looked up, so no others are counted."""
     own = chunks if scoped else chunks.withColumn("scope", F.lit("*"))
     counted = own.select("scope", "ord", "text", tokenize(F.col("text"), stopwords).alias("words"))
     lengths = counted.select("scope", "ord", "text", F.size("words").cast("long").alias("length"))
@@ -37,7 +39,10 @@ def index(chunks: DataFrame, *, scoped: bool = True, stopwords: tuple[str, ...]
     if most_chunks is not None:
         scopes = scopes.where(F.col("n") <= most_chunks)
     scopes = scopes.withColumn("max_idf", F.log(1 + (F.col("n") + 0.5) / 0.5))
-    postings = counted.select("scope", "ord", F.explode_outer("words").alias("token")).where("token is not null").groupBy("scope", "ord", "token").agg(F.count("*").alias("tf"))
+    each = counted.select("scope", "ord", F.size("words").cast("long").alias("length"), F.explode_outer("words").alias("token")).where("token is not null")
+    if asked is not None:
+        each = each.join(asked.select("scope", "token").distinct(), ["scope", "token"], "left_semi")
+    postings = each.groupBy("scope", "ord", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = postings.groupBy("scope", "token").agg(F.count("*").alias("df"))
     tokens = df.join(scopes, "scope").select("scope", "token", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return Index(postings, lengths, tokens, scopes)
@@ -49,27 +54,30 @@ def question_tokens(questions: DataFrame, stopwords: tuple[str, ...] = STOPWORDS
     return words.groupBy("question_id", "scope", "token").agg(F.count("*").alias("times"))
 
 
-def scores(ix: Index, questions: DataFrame, *, k1: float = K1, b: float = B, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """(question_id, scope, ord, score) of chunks that share a token with the question; others score 0.
+def matches(ix: Index, questions: DataFrame, *, k1: float = K1, b: float = B, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(question_id, scope, ord, score, coverage) of chunks that share a token with the question, in one pass over the postings.
 
-    A token that the question repeats counts as often."""
+    score: BM25, in which a token that the question repeats counts as often.  coverage: the share of the
+    question's token weight that the chunk holds; unknown tokens weigh as much as the rarest could."""
     asked = question_tokens(questions, stopwords)
-    hit = asked.join(ix.tokens, ["scope", "token"]).join(ix.postings, ["scope", "token"]).join(ix.lengths.drop("text"), ["scope", "ord"]).join(ix.scopes, "scope")
+    weighed = asked.join(ix.tokens.select("scope", "token", "idf"), ["scope", "token"], "left").join(ix.scopes, "scope")
+    weighed = weighed.withColumn("weight", F.coalesce("idf", "max_idf"))
+    total = weighed.groupBy("question_id", "scope").agg(F.sum("weight").alias("total"))
+    hit = weighed.where("idf is not null").join(ix.postings, ["scope", "token"])
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return hit.groupBy("question_id", "scope", "ord").agg(F.sum(part).alias("score"))
+    summed = hit.groupBy("question_id", "scope", "ord").agg(F.sum(part).alias("score"), F.sum("weight").alias("held"))
+    return summed.join(total, ["question_id", "scope"]).select("question_id", "scope", "ord", "score", (F.col("held") / F.col("total")).alias("coverage"))
 
 
-def coverage(ix: Index, questions: DataFrame, *, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """(question_id, scope, ord, coverage): the share of the question's token weight that a chunk holds.
+def scores(ix: Index, questions: DataFrame, *, k1: float = K1, b: float = B, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(question_id, scope, ord, score) of chunks that share a token with the question; others score 0."""
+    return matches(ix, questions, k1=k1, b=b, stopwords=stopwords).drop("coverage")
 
-    Unknown tokens weigh as much as the rarest could."""
-    asked = question_tokens(questions, stopwords).drop("times")
-    weighed = asked.join(ix.tokens.select("scope", "token", "idf"), ["scope", "token"], "left").join(ix.scopes.select("scope", "max_idf"), "scope")
-    weighed = weighed.select("question_id", "scope", "token", F.coalesce("idf", "max_idf").alias("weight"))
-    total = weighed.groupBy("question_id", "scope").agg(F.sum("weight").alias("total"))
-    held = weighed.join(ix.postings.select("scope", "token", "ord"), ["scope", "token"]).groupBy("question_id", "scope", "ord").agg(F.sum("weight").alias("held"))
-    return held.join(total, ["question_id", "scope"]).select("question_id", "scope", "ord", (F.col("held") / F.col("total")).alias("coverage"))
+
+def coverage(ix: Index, questions: DataFrame, *, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(question_id, scope, ord, coverage) of chunks that share a token with the question; others cover nothing."""
+    return matches(ix, questions, stopwords=stopwords).drop("score")
 
 
 def endorsements(
@@ -82,13 +90,15 @@ def endorsements(
     k1: float = K1,
     b: float = B,
     stopwords: tuple[str, ...] = STOPWORDS,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
-    """(question_id, scope, text, ord, score): the best distinct texts for each question, above both floors."""
-    scored = scores(ix, questions, k1=k1, b=b, stopwords=stopwords).where("score > 0")
+    """(question_id, scope, text, ord, score): the best distinct texts for each question, above both floors.
+
+    ``matched``: the result of ``matches`` where the caller has it already."""
+    scored = (matches(ix, questions, k1=k1, b=b, stopwords=stopwords) if matched is None else matched).where("score > 0")
     best = scored.groupBy("question_id", "scope").agg(F.max("score").alias("best"))
-    strong = scored.join(best, ["question_id", "scope"]).where(F.col("score") >= score_floor * F.col("best"))
-    covered = strong.join(coverage(ix, questions, stopwords=stopwords), ["question_id", "scope", "ord"]).where(F.col("coverage") >= coverage_floor)
-    texts = covered.join(ix.lengths.select("scope", "ord", "text"), ["scope", "ord"])
+    strong = scored.join(best, ["question_id", "scope"]).where((F.col("score") >= score_floor * F.col("best")) & (F.col("coverage") >= coverage_floor))
+    texts = strong.join(ix.lengths.select("scope", "ord", "text"), ["scope", "ord"])
     same = Window.partitionBy("question_id", "scope", "text").orderBy(F.desc("score"), "ord")
     first = texts.withColumn("r", F.row_number().over(same)).where("r = 1")
     rank = Window.partitionBy("question_id", "scope").orderBy(F.desc("score"), "ord")

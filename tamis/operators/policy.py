@@ -34,8 +34,11 @@ def policies(spark: SparkSession) -> DataFrame:
 def prompts(spark: SparkSession, questions: DataFrame, texts: DataFrame) -> DataFrame:
     """(question_id, policy, prompt) for questions (question_id, question, policy); null where the model is not asked.
 
-    The question stands in the prompt as it was written."""
-    joined = questions.join(F.broadcast(policies(spark)), "policy").join(texts, "question_id", "left")
+    The question stands in the prompt as it was written.  A policy that is not known is an error, as in ``resolve``."""
+    unknown = F.raise_error(F.concat(F.lit("unknown policy "), F.coalesce("policy", F.lit("null"))))
+    known = F.broadcast(policies(spark).withColumn("__known", F.lit(True)))
+    named = questions.join(known, "policy", "left").withColumn("policy", F.when(F.col("__known"), F.col("policy")).otherwise(unknown))
+    joined = named.join(texts, "question_id", "left")
     context = F.array_join("texts", "\n\n")
     filled = lambda t: F.replace(t, F.lit("{question}"), F.col("question"))
     # The context goes in last, so nothing inside it is taken for a mark.

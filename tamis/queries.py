@@ -15,7 +15,7 @@ from tamis.functions import text as T
 from tamis.operators import chunking, dense, embed, evaluate, fusion, layout, lexical, policy
 from tamis.sources import files, web
 from tamis.tables import read as read_table
-from tamis.tables import spread
+from tamis.tables import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,8 +38,15 @@ def query(sql: str | None = None):
 
 # ---- SQL of the text functions ----
 
-H = T.HORIZONTAL
-DIGITS = T.FOLD_FROM[:10]
+# What the SQL says is written out here once more, and not taken from the functions it checks.
+H = r"\x{9}\x{B}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+FOLDS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩يكةأإؤ", "01234567890123456789یکهااو")
+ARABIC = r"\x{620}-\x{64A}\x{671}-\x{6D3}"
+LEFT_TO_RIGHT = r"0-9A-Za-z\x{660}-\x{669}\x{6F0}-\x{6F9}"
+RIGHT_TO_LEFT = r"\x{590}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}"
+GONE = "".join(map(chr, (0xA0, 0xAD, 0x200B, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0xFEFF)))
+CONTINUES = r"[A-Za-z][-\x{2010}]$|\x{200C}$"
 
 
 def q(s: str) -> str:
@@ -55,7 +62,7 @@ def s_strip(x: str) -> str:
 
 
 def s_normalize(x: str) -> str:
-    x = f"translate({x}, {q(T.FOLD_FROM)}, {q(T.FOLD_TO)})"
+    x = f"translate({x}, {q(FOLDS[0])}, {q(FOLDS[1])})"
     x = sub(sub(x, f"[{H}]+", "' '"), r" ?\n ?", "chr(10)")
     return s_strip(sub(x, r"\n{3,}", "chr(10) || chr(10)"))
 
@@ -67,12 +74,12 @@ def s_tokens(x: str) -> str:
 
 
 def s_bidi(x: str) -> str:
-    one = sub(x, f"([{T.ARABIC_LETTER}])([{T.LATIN_OR_DIGIT}])", r"'\1 \2'")
-    return sub(one, f"([{T.LATIN_OR_DIGIT}])([{T.ARABIC_LETTER}])", r"'\1 \2'")
+    one = sub(x, f"([{ARABIC}])([{LEFT_TO_RIGHT}])", r"'\1 \2'")
+    return sub(one, f"([{LEFT_TO_RIGHT}])([{ARABIC}])", r"'\1 \2'")
 
 
 def s_clean(x: str) -> str:
-    x = f"translate({x}, {q(T.NO_BREAK + T.INVISIBLE)}, ' ')"
+    x = f"translate({x}, {q(GONE)}, ' ')"
     return s_strip(s_bidi(sub(sub(x, r"\r\n?", "chr(10)"), f"[{H}]+", "' '")))
 
 
@@ -102,11 +109,12 @@ def tokenize_counts(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.sha2(F.array_join("t", " "), 256).alias("tokens"))
 
 
-_MIXED = "'سلام' || CAST(doc_id AS VARCHAR) || 'کتاب' || lang || 'متن' || text"
+# Letters touch digits of three scripts, Latin letters, and marks that separate nothing.
+_MIXED = f"'سلام' || CAST(doc_id AS VARCHAR) || 'کتاب' || translate(CAST(doc_id AS VARCHAR), '0123456789', {q(DIGITS)}) || 'ٱۓ٤ؠ٪،' || lang || 'متن' || text"
 
 
 def _script(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("mixed", F.concat(F.lit("سلام"), F.col("doc_id").cast("string"), F.lit("کتاب"), F.col("lang"), F.lit("متن"), F.col("text")))
+    return docs.withColumn("mixed", F.concat(F.lit("سلام"), F.col("doc_id").cast("string"), F.lit("کتاب"), F.translate(F.col("doc_id").cast("string"), "0123456789", DIGITS), F.lit("ٱۓ٤ؠ٪،"), F.col("lang"), F.lit("متن"), F.col("text")))
 
 
 @query(f"SELECT doc_id, sha256({s_bidi(_MIXED)}) AS split FROM documents")
@@ -115,7 +123,7 @@ def bidi_split(spark, sf_dir):
 
 
 _RATIO = f"""SELECT doc_id, CASE WHEN r + o > 0 THEN round(r / (r + o), 6) ELSE 0 END AS ratio, CASE WHEN r + o > 0 THEN r / (r + o) > 0.5 ELSE false END AS is_rtl FROM (
-SELECT doc_id, CAST(length({sub("m", f"[^{T.RTL}]")}) AS DOUBLE) AS r, CAST(length({sub("m", rf"[^\p{{L}}]|[{T.RTL}]")}) AS DOUBLE) AS o FROM (SELECT doc_id, {_MIXED} || repeat('سلام ', doc_id % 50) AS m FROM documents))"""
+SELECT doc_id, CAST(length({sub("m", f"[^{RIGHT_TO_LEFT}]")}) AS DOUBLE) AS r, CAST(length({sub("m", rf"[^\p{{L}}]|[{RIGHT_TO_LEFT}]")}) AS DOUBLE) AS o FROM (SELECT doc_id, {_MIXED} || repeat('سلام ', doc_id % 50) AS m FROM documents))"""
 
 
 @query(_RATIO)
@@ -124,11 +132,11 @@ def rtl_ratio(spark, sf_dir):
     return m.select("doc_id", F.round(T.rtl_ratio(F.col("m")), 6).alias("ratio"), T.is_rtl(F.col("m")).alias("is_rtl"))
 
 
-_MARKED = "'  ' || chr(160) || chr(8206) || 'ab' || chr(173) || 'c' || chr(8204) || chr(13) || chr(10) || text || chr(8203) || 'متنx' || chr(13)"
+_MARKED = "'  ' || chr(160) || chr(8206) || 'ab' || chr(173) || 'c' || chr(8204) || chr(13) || chr(10) || text || chr(8203) || 'متنx۱۲متن' || chr(13)"
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("m", F.concat(F.lit("  " + chr(160) + chr(8206) + "ab" + chr(173) + "c" + chr(8204) + "\r\n"), F.col("text"), F.lit(chr(8203) + "متنx\r")))
+    return docs.withColumn("m", F.concat(F.lit("  " + chr(160) + chr(8206) + "ab" + chr(173) + "c" + chr(8204) + "\r\n"), F.col("text"), F.lit(chr(8203) + "متنx۱۲متن\r")))
 
 
 @query(f"SELECT doc_id, sha256({s_clean(_MARKED)}) AS cleaned FROM documents")
@@ -152,7 +160,7 @@ _CLASS_TEXT = "CASE line % 5 WHEN 0 THEN '- ' || text WHEN 1 THEN CAST(line AS V
 
 
 @query(f"""SELECT doc_id, line, regexp_matches(t, {q(rf'^[{H}\n]*([-*•▪◦‣–—][{H}\n]|\(?[0-9٠-٩۰-۹]{{1,3}}[.)\-][{H}\n]|[A-Za-zا-ی][.)][{H}\n])')}) AS is_list,
-regexp_matches({sub("t", rf'[{H}\n]+$')}, {q(f"[A-Za-z][{T.HYPHENS}]$|{T.ZWNJ}$")}) AS continues, {s_strip(sub("lower(" + s_clean("t") + ")", r"\p{Nd}+", "'#'"))} AS key FROM (SELECT doc_id, line, {_CLASS_TEXT} AS t FROM ({_LINES}))""")
+regexp_matches({sub("t", rf'[{H}\n]+$')}, {q(CONTINUES)}) AS continues, {s_strip(sub("lower(" + s_clean("t") + ")", r"\p{Nd}+", "'#'"))} AS key FROM (SELECT doc_id, line, {_CLASS_TEXT} AS t FROM ({_LINES}))""")
 def line_classes(spark, sf_dir):
     t = F.expr("CASE line % 5 WHEN 0 THEN concat('- ', text) WHEN 1 THEN concat(CAST(line AS STRING), ') ', text) WHEN 2 THEN concat(text, 'a-') WHEN 3 THEN concat('a. ', text) ELSE text END")
     own = _doc_lines(spark, sf_dir).withColumn("t", t)
@@ -160,7 +168,7 @@ def line_classes(spark, sf_dir):
 
 
 _FOLD = rf"""list_reduce(list_transform(ls, lambda l: {s_strip("l")}), lambda d, l: CASE WHEN l = '' THEN d WHEN d = '' THEN l
-WHEN regexp_matches(d, {q(f"[A-Za-z][{T.HYPHENS}]$")}) AND regexp_matches(l, '^[a-z]') THEN d[:length(d) - 1] || l ELSE d || ' ' || l END)"""
+WHEN regexp_matches(d, {q(r"[A-Za-z][-\x{2010}]$")}) AND regexp_matches(l, '^[a-z]') THEN d[:length(d) - 1] || l ELSE d || ' ' || l END)"""
 
 
 @query(f"SELECT doc_id, sha256({_FOLD}) AS joined FROM (SELECT doc_id, list_prepend('', list_concat(string_split(text, chr(10)), ['half-', 'word and', 'Pre-', 'Fix', ' '])) AS ls FROM documents)")
@@ -169,14 +177,16 @@ def join_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.join_lines(lines), 256).alias("joined"))
 
 
-@query("""SELECT r_regionkey, 'nation | key' || chr(10) || string_agg('nation: ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' | key: ' || CAST(n_nationkey AS VARCHAR) ELSE '' END, chr(10) ORDER BY n_nationkey) AS rendered
+@query("""SELECT r_regionkey, 'nation | key' || chr(10) || string_agg('nation: ' || n_name || ' متن' || CASE WHEN n_nationkey % 2 = 0 THEN ' | key: ' || CAST(n_nationkey AS VARCHAR) ELSE '' END, chr(10) ORDER BY n_nationkey) AS rendered
 FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
 def table_render(spark, sf_dir):
     joined = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    cells = F.array(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")))
+    # Cells that need cleaning: a no-break space around, a soft hyphen inside, letters of two scripts.
+    name = F.concat(F.lit(chr(0xA0)), F.col("n_name"), F.lit(chr(0xAD) + "متن"))
+    cells = F.array(name, F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")))
     rows = joined.groupBy("r_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("c")))).alias("l"))
     table = F.concat(F.array(F.array(F.lit("nation"), F.lit("key"))), F.transform("l", lambda x: x["c"]))
-    return rows.select("r_regionkey", T.render_table(table, F.lit(False)).alias("rendered"))
+    return rows.select("r_regionkey", F.array_join(T.render_table(table, F.lit(False)), "\n").alias("rendered"))
 
 
 @query(f"""SELECT doc_id, 'my report ' || source || ' ' || CAST(doc_id AS VARCHAR) AS title, lower(w) LIKE '%untitled%' AS junk
@@ -260,7 +270,7 @@ def upsert_scope(spark, sf_dir):
 
 _BM = f"""chunks AS (SELECT source AS scope, doc_id AS ord, text, {s_tokens("text")} AS t FROM documents),
 questions AS (SELECT item_id AS question_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS scope, text AS question, {s_tokens("text")} AS t FROM benchmark),
-scopes AS (SELECT scope, count(*) AS n, avg(len(t)) AS average, ln(1 + (count(*) + 0.5) / 0.5) AS max_idf FROM chunks GROUP BY scope HAVING count(*) <= 2000),
+scopes AS (SELECT scope, count(*) AS n, avg(len(t)) AS average, ln(1 + (count(*) + 0.5) / 0.5) AS max_idf FROM chunks GROUP BY scope),
 postings AS (SELECT scope, ord, token, count(*) AS tf FROM (SELECT scope, ord, unnest(t) AS token FROM chunks) GROUP BY ALL),
 tokens AS (SELECT scope, token, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings JOIN scopes USING (scope) GROUP BY scope, token),
 asked AS (SELECT question_id, scope, token, count(*) AS times FROM (SELECT question_id, scope, unnest(t) AS token FROM questions) GROUP BY ALL),
@@ -290,17 +300,20 @@ def bm25_idf(spark, sf_dir):
 
 @query(f"WITH {_BM} SELECT question_id, ord, round(score, 6) AS score FROM scores")
 def bm25_scores(spark, sf_dir):
-    return lexical.scores(lexical.index(_chunks(spark, sf_dir), most_chunks=None), _questions(spark, sf_dir)).select("question_id", "ord", F.round("score", 6).alias("score"))
+    asked = _questions(spark, sf_dir)
+    return lexical.scores(lexical.index(_chunks(spark, sf_dir), most_chunks=None, asked=lexical.question_tokens(asked)), asked).select("question_id", "ord", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM} SELECT question_id, ord, round(coverage, 6) AS coverage FROM coverage")
 def bm25_coverage(spark, sf_dir):
-    return lexical.coverage(lexical.index(_chunks(spark, sf_dir), most_chunks=None), _questions(spark, sf_dir)).select("question_id", "ord", F.round("coverage", 6).alias("coverage"))
+    asked = _questions(spark, sf_dir)
+    return lexical.coverage(lexical.index(_chunks(spark, sf_dir), most_chunks=None, asked=lexical.question_tokens(asked)), asked).select("question_id", "ord", F.round("coverage", 6).alias("coverage"))
 
 
 @query(f"WITH {_BM} SELECT question_id, ord, round(score, 6) AS score FROM endorsed")
 def lexical_endorsements(spark, sf_dir):
-    e = lexical.endorsements(lexical.index(_chunks(spark, sf_dir)), _questions(spark, sf_dir))
+    asked = _questions(spark, sf_dir)
+    e = lexical.endorsements(lexical.index(_chunks(spark, sf_dir), most_chunks=None, asked=lexical.question_tokens(asked)), asked)
     return e.select("question_id", "ord", F.round("score", 6).alias("score"))
 
 
@@ -335,27 +348,39 @@ def dense_gate(spark, sf_dir):
     return dense.gate(dense.topk(spark, asked, v, 5)).groupBy("question_id").agg(F.count("*").alias("candidates"), F.count_if("kept").alias("kept"))
 
 
-# ---- hybrid: vectors of equal number stand for chunks and questions ----
+# ---- hybrid: the built-in embedder on whole documents and all questions ----
 
-_HY = f"""{_BM}, ce AS (SELECT c.*, CAST(embedding AS DOUBLE[]) AS e FROM chunks c JOIN embeddings ON vec_id = ord),
-qe AS (SELECT q.*, CAST(embedding AS DOUBLE[]) AS e FROM questions q JOIN embeddings ON vec_id = question_id),
-hnear AS (SELECT * FROM (SELECT question_id, q.scope, ord, c.text, {_DIST.format(a="q.e", b="c.e")} AS distance, row_number() OVER (PARTITION BY question_id ORDER BY {_DIST.format(a="q.e", b="c.e")}, ord) AS r FROM qe q JOIN ce c USING (scope)) WHERE r <= 3),
+
+def _s_vectors(table: str, keys: str, text: str) -> str:
+    """(keys, dim, v): signed counts of words by the first hex digits of their digest."""
+    words = f"SELECT {keys}, sha256(unnest(list_filter(string_split_regex(lower({s_normalize(text)}), '[ \\n]+'), lambda w: w <> ''))) AS h FROM {table}"
+    return f"SELECT {keys}, substr(h, 1, 2) AS dim, CAST(sum(CASE WHEN substr(h, 3, 1) >= '8' THEN -1 ELSE 1 END) AS DOUBLE) AS v FROM ({words}) GROUP BY ALL HAVING v <> 0"
+
+
+_HY = f"""{_BM}, cv AS ({_s_vectors("chunks", "scope, ord", "text")}), qv AS ({_s_vectors("questions", "question_id, scope", "question")}),
+cn AS (SELECT scope, ord, sqrt(sum(v * v)) AS n FROM cv GROUP BY ALL), qn AS (SELECT question_id, scope, sqrt(sum(v * v)) AS n FROM qv GROUP BY ALL),
+dots AS (SELECT question_id, scope, ord, sum(qv.v * cv.v) AS dot FROM qv JOIN cv USING (scope, dim) GROUP BY ALL),
+far AS (SELECT question_id, scope, ord, c.text, CASE WHEN qn.n IS NULL OR cn.n IS NULL THEN 1 ELSE round(1 - coalesce(dot, 0) / (qn.n * cn.n), 12) END AS distance
+  FROM questions q JOIN chunks c USING (scope) LEFT JOIN qn USING (question_id, scope) LEFT JOIN cn USING (scope, ord) LEFT JOIN dots USING (question_id, scope, ord)),
+hnear AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, ord) AS r FROM far) WHERE r <= 3),
 guarded AS (SELECT n.question_id, n.scope, n.ord, n.text, distance, distance <= 0.63 AND NOT (s.scope IS NOT NULL AND a.question_id IS NOT NULL AND coalesce(coverage, 0) <= 0) AS kept
   FROM hnear n LEFT JOIN coverage c ON c.question_id = n.question_id AND c.ord = n.ord LEFT JOIN scopes s ON s.scope = n.scope LEFT JOIN (SELECT DISTINCT question_id FROM asked) a ON a.question_id = n.question_id),
 merged AS (SELECT g.question_id, g.scope, g.ord, g.text, distance, kept OR e.score IS NOT NULL AS kept, CASE WHEN e.score IS NOT NULL THEN 'both' ELSE 'dense' END AS source, coalesce(e.score, 0) AS lexical_score FROM guarded g LEFT JOIN endorsed e ON e.question_id = g.question_id AND e.text = g.text),
-every AS (SELECT * FROM merged UNION ALL SELECT e.question_id, e.scope, e.ord, e.text, {_DIST.format(a="q.e", b="c.e")}, true, 'lexical', e.score FROM endorsed e JOIN ce c ON c.scope = e.scope AND c.ord = e.ord JOIN qe q ON q.question_id = e.question_id
+every AS (SELECT * FROM merged UNION ALL SELECT e.question_id, e.scope, e.ord, e.text, distance, true, 'lexical', e.score FROM endorsed e JOIN far f ON f.question_id = e.question_id AND f.scope = e.scope AND f.ord = e.ord
   WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.question_id = e.question_id AND m.text = e.text)),
 turns AS (SELECT *, 2 * row_number() OVER (PARTITION BY question_id, kept, source = 'lexical' ORDER BY CASE WHEN source = 'lexical' THEN -lexical_score ELSE distance END, scope, ord) - CASE WHEN source = 'lexical' THEN 0 ELSE 1 END AS turn FROM every),
 cand AS (SELECT question_id, scope, ord, text, distance, kept, source, lexical_score, kept AND row_number() OVER (PARTITION BY question_id, kept ORDER BY turn) <= 4 AS in_prompt FROM turns)"""
-# Chunks of the hybrid are documents that have a vector; the lexical channel counts the same ones.
-_HY = _HY.replace("AS t FROM documents)", "AS t FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").replace("AS t FROM benchmark)", "AS t FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings))")
+
+
+def _embedded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All questions, and all documents as chunks, with their vectors; both written once."""
+    chunks = written(spark, embed.embed(_chunks(spark, sf_dir), "text"), "chunks")
+    return written(spark, embed.embed(_questions(spark, sf_dir), "question"), "questions"), chunks
 
 
 def _hybrid(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    chunks = _chunks(spark, sf_dir).join(e, F.col("ord") == F.col("vec_id")).drop("vec_id")
-    questions = _questions(spark, sf_dir).join(e, F.col("question_id") == F.col("vec_id")).drop("vec_id")
-    return fusion.retrieve(spark, questions, chunks, prompt_budget=4)
+    questions, chunks = _embedded(spark, sf_dir)
+    return fusion.retrieve(spark, questions, chunks, prompt_budget=4, most_chunks=None)
 
 
 @query(f"WITH {_HY} SELECT question_id, ord, abs(round(distance, 6)) AS distance, kept, source, round(lexical_score, 6) AS lexical_score, in_prompt FROM cand")
@@ -369,14 +394,20 @@ def prompt_budget(spark, sf_dir):
 
 
 @query(f"""WITH {_HY} SELECT question_id, ord, source, CASE WHEN in_prompt THEN 'accepted' WHEN kept THEN 'over budget' WHEN distance > 0.63 THEN 'too far' ELSE 'no shared words' END AS verdict,
-left(regexp_replace(text, '\\s+', ' ', 'g'), 70) AS preview FROM cand""")
+CASE WHEN length(text) > 70 THEN left(replace(text, chr(10), ' '), 70) || '…' ELSE replace(text, chr(10), ' ') END AS preview FROM cand""")
 def explain_retrieval(spark, sf_dir):
     return fusion.explain(_hybrid(spark, sf_dir)).select("question_id", "ord", "source", "verdict", "preview")
 
 
-@query(f"WITH {_HY} SELECT question_id, count(*) AS candidates, count(*) FILTER (kept) AS kept, count(*) FILTER (in_prompt) AS in_prompt, round(CASE WHEN count(*) FILTER (kept) = 0 THEN min(CASE WHEN distance > 0.63 THEN distance - 0.63 END) END, 6) AS missed_by FROM cand GROUP BY question_id")
+_POLICY_OF = "CASE WHEN question_id % 2 = 0 THEN 'strict' ELSE 'open' END"
+
+
+@query(f"""WITH {_HY} SELECT question_id, count(*) AS candidates, count(*) FILTER (kept) AS kept, count(*) FILTER (in_prompt) AS in_prompt, count(*) FILTER (kept AND NOT in_prompt) AS trimmed,
+count(*) FILTER (NOT kept AND distance <= 0.63) AS no_shared_words, round(CASE WHEN count(*) FILTER (kept) = 0 THEN min(CASE WHEN distance > 0.63 THEN distance - 0.63 END) END, 6) AS missed_by,
+count(*) FILTER (kept) = 0 AND {_POLICY_OF} = 'open' AS ungrounded FROM cand GROUP BY question_id""")
 def explain_summary(spark, sf_dir):
-    return fusion.explain_summary(_hybrid(spark, sf_dir)).withColumn("missed_by", F.round("missed_by", 6))
+    policies = _questions(spark, sf_dir).select("question_id", F.when(F.col("question_id") % 2 == 0, "strict").otherwise("open").alias("policy"))
+    return fusion.explain_summary(_hybrid(spark, sf_dir), policies=policies).withColumn("missed_by", F.round("missed_by", 6))
 
 
 _STRICT, _OPEN, _UNSUPPORTED = policy.POLICIES["strict"][0], policy.POLICIES["open"][0], policy.POLICIES["open"][1]
@@ -387,16 +418,19 @@ FROM (SELECT question_id, question, CASE WHEN question_id % 2 = 0 THEN 'strict'
 
 @query(_PROMPT)
 def build_prompt(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id")
-    asked = _questions(spark, sf_dir).join(e, F.col("question_id") == F.col("vec_id"), "left_semi").withColumn("policy", F.when(F.col("question_id") % 2 == 0, "strict").otherwise("open"))
+    asked = _questions(spark, sf_dir).withColumn("policy", F.when(F.col("question_id") % 2 == 0, "strict").otherwise("open"))
     p = policy.prompts(spark, asked, fusion.prompt_texts(_hybrid(spark, sf_dir)))
     return p.select("question_id", "policy", F.sha2("prompt", 256).alias("prompt"))
 
 
-@query()
+_ANSWERS = f"""ctx AS (SELECT question_id, string_agg(text, chr(10) || chr(10) ORDER BY distance, scope, ord) AS c FROM cand WHERE in_prompt GROUP BY question_id),
+answered AS (SELECT question_id, 'strict' AS policy, CASE WHEN c IS NULL THEN {q(policy.NO_CONTEXT)}
+  ELSE left(string_split({s_strip("(c || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:')")}, '. ')[1], 200) END AS answer FROM questions LEFT JOIN ctx USING (question_id))"""
+
+
+@query(f"WITH {_HY}, {_ANSWERS} SELECT question_id, policy, answer FROM answered")
 def answer_questions(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id")
-    asked = _questions(spark, sf_dir).join(e, F.col("question_id") == F.col("vec_id"), "left_semi").withColumn("policy", F.lit("strict"))
+    asked = _questions(spark, sf_dir).withColumn("policy", F.lit("strict"))
     return policy.answers(policy.prompts(spark, asked, fusion.prompt_texts(_hybrid(spark, sf_dir))))
 
 
@@ -408,9 +442,7 @@ coalesce(bool_or(NOT kept AND contains(text, answer_key)), false) AS gated, min(
 
 
 def _keys(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select("vec_id")
-    own = _questions(spark, sf_dir).join(e, F.col("question_id") == F.col("vec_id"), "left_semi")
-    return own.select("question_id", F.get(F.split("question", " "), F.lit(2)).alias("answer_key"))
+    return _questions(spark, sf_dir).select("question_id", F.get(F.split("question", " "), F.lit(2)).alias("answer_key"))
 
 
 @query(f"WITH {_JUDGED} SELECT count(*) AS questions, count(*) FILTER (hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS recall, count(*) FILTER (hit AND NOT prompt_hit) AS trimmed, count(*) FILTER (NOT hit AND gated) AS missed_by_gate, count(*) FILTER (NOT hit AND NOT gated) AS missed_by_rank FROM per")
@@ -424,30 +456,59 @@ def eval_miss_cause(spark, sf_dir):
     return evaluate.judged(_hybrid(spark, sf_dir), _keys(spark, sf_dir)).select("question_id", "hit", "cause", F.abs(F.round("nearest", 6)).alias("nearest"))
 
 
-@query(f"WITH {_HY} SELECT count(*) AS questions, count(*) FILTER (a) AS false_admits FROM (SELECT question_id, coalesce(bool_or(kept), false) AS a FROM questions LEFT JOIN cand USING (question_id) GROUP BY question_id)")
+# Unrelated questions: every fourth item of the benchmark, put to every source.
+_UNRELATED = _HY.replace(
+    "questions AS (SELECT item_id AS question_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS scope,",
+    "questions AS (SELECT item_id * 1000 + CAST(substr(s.source, 4) AS BIGINT) AS question_id, s.source AS scope,",
+).replace("AS t FROM benchmark)", "AS t FROM (SELECT * FROM benchmark WHERE item_id % 4 = 0) AS b, (SELECT DISTINCT source FROM documents) AS s)")
+
+
+@query(f"WITH {_UNRELATED} SELECT count(*) AS questions, count(*) FILTER (a) AS false_admits FROM (SELECT question_id, coalesce(bool_or(kept), false) AS a FROM questions LEFT JOIN cand USING (question_id) GROUP BY question_id)")
 def eval_false_admit(spark, sf_dir):
-    return evaluate.false_admits(_hybrid(spark, sf_dir), _keys(spark, sf_dir))
+    questions, chunks = _embedded(spark, sf_dir)
+    put = evaluate.in_every_scope(questions.where("question_id % 4 = 0"), chunks.select("scope"))
+    return evaluate.false_admits(fusion.retrieve(spark, put, chunks, prompt_budget=4, most_chunks=None), put)
+
+
+_SETTINGS = [{}, {"threshold": 0.3}, {"threshold": 0.9, "pool": 6}, {"budget": 1}, {"coverage": 0.9, "dense_coverage": 0.5}]
+
 
+def _s_sweep(given: dict) -> str:
+    """One setting: the candidates as SQL has them, with other numbers in their places."""
+    h = _HY.replace("<= 0.63", f"<= {given.get('threshold', 0.63)}").replace("WHERE r <= 3),\nguarded", f"WHERE r <= {given.get('pool', 3)}),\nguarded").replace("ORDER BY turn) <= 4", f"ORDER BY turn) <= {given.get('budget', 6)}")
+    h = h.replace("coverage >= 0.35)", f"coverage >= {given.get('coverage', 0.35)})").replace("coalesce(coverage, 0) <= 0)", f"coalesce(coverage, 0) <= {given.get('dense_coverage', 0)})")
+    judged = _JUDGED.replace(_HY, h)
+    own = ", ".join(f"CAST({given.get(k, 'NULL')} AS DOUBLE) AS {k}" for k in evaluate.SETTINGS)
+    return " UNION ALL ".join(
+        f"(WITH {judged} SELECT '{name}' AS evalset, {own}, count(*) AS questions, count(*) FILTER (hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS recall, count(*) FILTER (hit AND NOT prompt_hit) AS trimmed,"
+        f" count(*) FILTER (NOT hit AND gated) AS missed_by_gate, count(*) FILTER (NOT hit AND NOT gated) AS missed_by_rank FROM per WHERE question_id % 2 = {odd})"
+        for odd, name in enumerate(("even", "odd"))
+    )
 
-@query(f"WITH {_HY}, {_KEYS}, th AS (SELECT unnest([CAST(0.3 AS DOUBLE), 0.63, 0.9, 1.2]) AS threshold), least AS (SELECT question_id, min(CASE WHEN contains(text, answer_key) THEN distance END) AS needed FROM keys LEFT JOIN cand USING (question_id) GROUP BY question_id) SELECT threshold, count(*) AS questions, count(*) FILTER (needed <= threshold) AS hits FROM least, th GROUP BY threshold")
+
+@query(" UNION ALL ".join(_s_sweep(x) for x in _SETTINGS))
 def eval_sweep(spark, sf_dir):
-    th = spark.createDataFrame([(0.3,), (0.63,), (0.9,), (1.2,)], "threshold double")
-    return evaluate.sweep(_hybrid(spark, sf_dir), _keys(spark, sf_dir), th)
+    questions, chunks = _embedded(spark, sf_dir)
+    keys = _keys(spark, sf_dir)
+    sets = {name: (questions.where(f"question_id % 2 = {odd}"), keys.where(f"question_id % 2 = {odd}")) for odd, name in enumerate(("even", "odd"))}
+    found = evaluate.sweep(lambda asked, **given: fusion.retrieve(spark, asked, chunks, most_chunks=None, **given), sets, _SETTINGS)
+    return found.withColumn("recall", F.round("recall", 6))
 
 
-@query()
+@query(f"""WITH {_JUDGED}, {_ANSWERS} SELECT outcome, count(*) AS answers FROM (SELECT CASE WHEN contains(answer, answer_key) THEN CASE WHEN contains(answer, 'not from the document') THEN 'ungrounded' ELSE 'correct' END
+WHEN prompt_hit THEN 'generation' ELSE 'retrieval' END AS outcome FROM answered JOIN keys USING (question_id) JOIN per USING (question_id)) GROUP BY outcome""")
 def eval_answer_faults(spark, sf_dir):
     c, keys = _hybrid(spark, sf_dir), _keys(spark, sf_dir)
-    e = read(spark, sf_dir, "embeddings").select("vec_id")
-    asked = _questions(spark, sf_dir).join(e, F.col("question_id") == F.col("vec_id"), "left_semi").withColumn("policy", F.lit("strict"))
+    asked = _questions(spark, sf_dir).withColumn("policy", F.lit("strict"))
     a = policy.answers(policy.prompts(spark, asked, fusion.prompt_texts(c)))
     return evaluate.answer_faults(a, evaluate.judged(c, keys), keys, "not from the document")
 
 
 # ---- layout: lines of documents on made-up pages of 24 lines ----
 
-_GEO = f"""geo AS (SELECT doc_id AS doc, line // 24 + 1 AS page, line % 24 AS line, CASE WHEN line % 24 = 0 THEN 'Report ' || CAST(line // 24 AS VARCHAR) WHEN line % 24 = 23 THEN text || ' part-' ELSE text END AS text,
-  CAST(CASE WHEN line % 7 = 3 THEN 60 ELSE 40 END AS DOUBLE) AS x0, CAST(10 + 14 * (line % 24) + CASE WHEN line % 24 >= 12 THEN 20 ELSE 0 END AS DOUBLE) AS y0, CAST(CASE WHEN line % 5 = 4 THEN 200 ELSE 500 END AS DOUBLE) AS x1,
+_GEO = f"""geo AS (SELECT doc_id AS doc, line // 24 + 1 AS page, line % 24 AS line, CASE WHEN line % 24 = 0 THEN CASE WHEN line // 24 % 2 = 0 THEN 'Report ' ELSE 'report ' END || CAST(line // 24 AS VARCHAR) WHEN line % 24 = 23 THEN text || ' part-' WHEN line % 24 IN (2, 12, 22) THEN text || ';'
+    WHEN line % 24 = 7 THEN 'این یک خط است X' WHEN line % 24 = 9 THEN 'ANNUAL REPORT' WHEN line % 24 = 10 THEN 'ÄÖÜ ABC' ELSE text END AS text,
+  CAST(CASE WHEN line % 7 = 3 THEN 60 WHEN line % 7 = 5 THEN 52 ELSE 40 END AS DOUBLE) AS x0, CAST(10 + 14 * (line % 24) + CASE WHEN line % 24 >= 12 THEN 20 ELSE 0 END AS DOUBLE) AS y0, CAST(CASE WHEN line % 5 = 4 THEN 200 WHEN line % 5 = 2 THEN 340 ELSE 500 END AS DOUBLE) AS x1,
   CAST(10 + 14 * (line % 24) + CASE WHEN line % 24 >= 12 THEN 20 ELSE 0 END + 11 AS DOUBLE) AS y1, CAST(CASE WHEN line % 24 = 5 THEN 16 ELSE 10 END AS DOUBLE) AS size, line % 24 = 5 AS bold FROM ({_LINES})),
 pg AS (SELECT DISTINCT doc, page, CAST(400 AS DOUBLE) AS height FROM geo)"""
 
@@ -458,8 +519,9 @@ def _geometry(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     y = (10 + 14 * n + F.when(n >= 12, 20).otherwise(0)).cast("double")
     lines = _doc_lines(spark, sf_dir).select(
         F.col("doc_id").alias("doc"), (page + 1).alias("page"), n.alias("line"),
-        F.when(n == 0, F.concat(F.lit("Report "), page.cast("string"))).when(n == 23, F.concat("text", F.lit(" part-"))).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("line") % 7 == 3, 60.0).otherwise(40.0).alias("x0"), y.alias("y0"), F.when(F.col("line") % 5 == 4, 200.0).otherwise(500.0).alias("x1"), (y + 11).alias("y1"),
+        F.when(n == 0, F.concat(F.when(page % 2 == 0, "Report ").otherwise("report "), page.cast("string"))).when(n == 23, F.concat("text", F.lit(" part-"))).when(n.isin(2, 12, 22), F.concat("text", F.lit(";")))
+        .when(n == 7, "این یک خط است X").when(n == 9, "ANNUAL REPORT").when(n == 10, "ÄÖÜ ABC").otherwise(F.col("text")).alias("text"),
+        F.when(F.col("line") % 7 == 3, 60.0).when(F.col("line") % 7 == 5, 52.0).otherwise(40.0).alias("x0"), y.alias("y0"), F.when(F.col("line") % 5 == 4, 200.0).when(F.col("line") % 5 == 2, 340.0).otherwise(500.0).alias("x1"), (y + 11).alias("y1"),
         F.when(n == 5, 16.0).otherwise(10.0).alias("size"), (n == 5).alias("bold"),
     )
     return lines, lines.select("doc", "page", F.lit(400.0).alias("height")).distinct()
@@ -489,18 +551,20 @@ def dedupe_lines(spark, sf_dir):
     return layout.drop_repeated(lines.withColumn("y0", F.lit(0.0)), compose=False).select("doc", "page", "line")
 
 
-_OPENW = f"regexp_matches({sub('pt', rf'[{H}\n]+$')}, {q(f'[A-Za-z][{T.HYPHENS}]$|{T.ZWNJ}$')})"
+_OPENW = f"regexp_matches({sub('pt', rf'[{H}\n]+$')}, {q(CONTINUES)})"
 _LISTRE = q(rf"^[{H}\n]*([-*•▪◦‣–—][{H}\n]|\(?[0-9٠-٩۰-۹]{{1,3}}[.)\-][{H}\n]|[A-Za-zا-ی][.)][{H}\n])")
 _STRIP = s_strip("text")
-_HEADSQL = f"""(len(regexp_split_to_array({_STRIP}, '\\s+')) <= 16 AND {_STRIP} <> '' AND NOT regexp_matches({_STRIP}, '[.،؛,]$') AND ((body > 0 AND size >= 1.15 * body) OR (boldm AND bold AND size >= body)
-OR (length({sub("text", r"\P{L}")}) >= 4 AND length(text) <= 80 AND NOT regexp_matches(text, '\\p{{Ll}}') AND regexp_matches(text, '[A-Z]'))))"""
+_LETTERS = sub("text", "[^A-Za-z]")
+_R, _O = f"length({sub('text', f'[^{RIGHT_TO_LEFT}]')})", f"length({sub('text', rf'[^\p{{L}}]|[{RIGHT_TO_LEFT}]')})"
+_HEADSQL = f"""({s_words("text")} <= 16 AND {_STRIP} <> '' AND NOT regexp_matches({_STRIP}, '[.،؛,]$') AND ((body > 0 AND size >= 1.15 * body) OR (boldm AND bold AND body > 0 AND size >= body)
+OR (CASE WHEN {_R} + {_O} = 0 THEN 0 ELSE CAST({_R} AS DOUBLE) / ({_R} + {_O}) END < 0.5 AND length({_LETTERS}) >= 4 AND {_LETTERS} = upper({_LETTERS}) AND length({_STRIP}) <= 80)))"""
 _PARA = f"""{_GEO}, seqd AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY round(y0, 1), x0, line) AS seq FROM geo),
 gaps AS (SELECT *, greatest(0, y0 - lag(y1) OVER b) AS gap FROM seqd WINDOW b AS (PARTITION BY doc, page ORDER BY seq)),
 meas AS (SELECT *, median(size) OVER p AS body, 11.0 AS lh, max(x1 - x0) OVER p AS width, min(x0) OVER p AS lft, max(x1) OVER p AS rgt, avg(CAST(bold AS DOUBLE)) OVER p < 0.3 AS boldm, coalesce(median(gap) OVER p, 0) AS lead_ FROM gaps WINDOW p AS (PARTITION BY doc, page)),
 cls AS (SELECT *, {_HEADSQL} AS head, regexp_matches(text, {_LISTRE}) AS lst FROM meas),
 prev AS (SELECT *, lag(text) OVER b AS pt, lag(y1) OVER b AS py1, lag(x1 - x0) OVER b AS pw, lag(size) OVER b AS ps, lag(head) OVER b AS ph FROM cls WINDOW b AS (PARTITION BY doc, page ORDER BY seq)),
-brk AS (SELECT *, pt IS NULL OR head OR lst OR ph OR (body > 0 AND ps > 0 AND size > 0 AND abs(size - ps) / body > 0.15) OR (NOT {_OPENW} AND x0 - lft > greatest(0.04 * width, 6) AND x1 >= rgt - 0.1 * width)
-  OR y0 - py1 > lead_ + greatest(lh * 0.5, 1.5) OR (NOT {_OPENW} AND pw < 0.5 * width) OR (NOT {_OPENW} AND pw < 0.72 * width AND regexp_matches({s_strip("pt")}, '[.!?؟:؛…]$')) AS nw FROM prev),
+brk AS (SELECT *, pt IS NULL OR head OR lst OR ph OR (body > 0 AND ps > 0 AND size > 0 AND abs(size - ps) / body > 0.15) OR (NOT {_OPENW} AND x0 - lft > greatest(0.02 * width, 6) AND x1 >= rgt - 0.1 * width)
+  OR y0 - py1 > lead_ + greatest(lh * 0.5, 1.5) OR (NOT {_OPENW} AND pw < 0.5 * width) OR (NOT {_OPENW} AND pw < 0.72 * width AND regexp_matches({s_strip("pt")}, '[.؟!?:؛;…]$')) AS nw FROM prev),
 num AS (SELECT *, CAST(sum(CAST(nw AS INTEGER)) OVER (PARTITION BY doc, page ORDER BY seq) AS INTEGER) AS p FROM brk),
 grp AS (SELECT doc, page, p AS seq, list_prepend('', list(text ORDER BY seq)) AS ls, arg_min(CASE WHEN head THEN 'heading' WHEN lst THEN 'list' ELSE 'body' END, seq) AS kind FROM num GROUP BY doc, page, p),
 par AS (SELECT doc, page, seq, {_FOLD} AS text, kind FROM grp)"""
@@ -514,7 +578,7 @@ def paragraphs(spark, sf_dir):
 
 @query(f"""WITH {_PARA}, pp AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, seq) AS r FROM par WHERE text <> ''),
 lp AS (SELECT *, lag(page) OVER w AS lpage, lag(kind) OVER w AS lkind, lag(text) OVER w AS ltext FROM pp WINDOW w AS (PARTITION BY doc ORDER BY r)),
-mm AS (SELECT *, CAST(sum(CASE WHEN coalesce(lpage <> page AND lkind = 'body' AND kind = 'body' AND NOT regexp_matches(regexp_replace(ltext, '\\s+$', ''), '[.!?؟:؛…»")]$') AND NOT regexp_matches(text, '^\\p{{Lu}}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY r) AS INTEGER) AS s FROM lp),
+mm AS (SELECT *, CAST(sum(CASE WHEN coalesce(lpage <> page AND lkind = 'body' AND kind = 'body' AND NOT regexp_matches({s_strip("ltext")}, '[.؟!?:؛;…»")]$') AND NOT regexp_matches(text, '^\\p{{Lu}}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY r) AS INTEGER) AS s FROM lp),
 mg AS (SELECT doc, s AS seq, min(page) AS page, list_prepend('', list(text ORDER BY r)) AS ls, arg_min(kind, r) AS kind FROM mm GROUP BY doc, s)
 SELECT doc, seq, page, sha256({_FOLD}) AS text, kind FROM mg""")
 def merge_pages(spark, sf_dir):
@@ -551,10 +615,15 @@ def split_bands(spark, sf_dir):
     return layout.split_by_bands(lines, bands).select("doc", "page", "line", "part")
 
 
-@query()
+_BARE = s_strip(sub(s_strip("text"), """^["'«» ]+|["'«» ]+$"""))
+
+
+@query(f"""WITH {_GEO}, top AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY y0, line) AS r, count(*) OVER (PARTITION BY doc) AS n, median(size) OVER (PARTITION BY doc) AS body FROM geo WHERE page = 1)
+SELECT doc, title FROM (SELECT doc, arg_max({_BARE}, size * 1e9 - y0 * 1e3 - line) AS title FROM top WHERE r <= greatest(12, n // 4) AND size > 1.15 * body AND {s_words("text")} BETWEEN 1 AND 16
+AND NOT regexp_matches(lower({_BARE}), 'untitled|microsoft word|document1|[.]doc|[.]pdf|[.]tex') GROUP BY doc) WHERE title <> ''""")
 def first_page_title(spark, sf_dir):
     lines, _ = _geometry(spark, sf_dir)
-    return layout.first_page_title(lines)
+    return layout.first_page_title(lines).where("title <> ''")
 
 
 # ---- the flagship: documents to chunks to candidates, with the built-in embedder ----
@@ -562,8 +631,9 @@ def first_page_title(spark, sf_dir):
 
 @query()
 def flagship_retrieve(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("source").alias("url"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), "doc_id")
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("url"), F.col("text").alias("content"), "doc_id")
     lists = d.select(F.col("url").alias("scope"), F.posexplode(chunking.splitter()(T.normalize(F.col("content")))).alias("at", "text"), "doc_id")
-    chunks = embed.embed(lists.select("scope", (F.col("doc_id") * 100_000 + F.col("at")).alias("ord"), "text"), "text")
+    # A chunk's number in its scope: unique for 2**32 chunks of a document.
+    chunks = embed.embed(lists.select("scope", (F.shiftleft(F.col("doc_id"), 32) + F.col("at")).alias("ord"), "text"), "text")
     questions = embed.embed(_questions(spark, sf_dir), "question")
-    return fusion.retrieve(spark, questions, chunks, most_chunks=None, threshold=0.8)
+    return fusion.retrieve(spark, written(spark, questions, "questions"), written(spark, chunks, "chunks"), most_chunks=None, threshold=0.8)

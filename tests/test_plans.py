@@ -1,12 +1,13 @@
-from tamis.functions.dialog import choose_policy, yes_or_no
+from tamis.functions.dialog import choose_policy, choose_source, yes_or_no
 from tamis.plans.answering import ask, ingest
 from tamis.sources import store
 from tamis.streaming.ingest import watch
 
 
 def test_dialog():
-    assert [yes_or_no(x) for x in (" YES ", "بلي", "نه", "maybe", "")] == [True, True, False, None, None]
-    assert [choose_policy(x, "open") for x in ("", "strict", "2", "۱", "other")] == ["open", "strict", "open", "strict", None]
+    assert [yes_or_no(x) for x in (" YES ", "آري", "بله", "نه", "ok", "")] == [True, True, True, False, None, None]
+    assert [choose_policy(x, "open") for x in ("", "strict", "2", "۱", "سخت‌گیرانه", "آزاد", "other")] == ["open", "strict", "open", "strict", "strict", "open", None]
+    assert [choose_source(x) for x in ("فایل محلي", "2", "URL", "")] == ["file", "url", "url", None]
 
 
 def test_ingest_and_ask(spark, tmp_path):

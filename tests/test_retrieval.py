@@ -125,6 +125,12 @@ def test_chunks(spark):
     assert all(c in text and c.strip() == c and chunking.words(c) <= 120 for c in got)
     assert set(" ".join(got).split()) == set(text.split())
     assert chunking.split_text(" \n ") == []
+    # By characters no chunk is longer than the limit, whatever the words; all text survives.
+    for size in (1, 10, 64):
+        long = "short " + "x" * 500 + " tail. " + "é" * 33
+        cut = chunking.split_text(long, size, 0, len)
+        assert all(len(c) <= size and c in long for c in cut) and "".join(cut).replace(" ", "") == long.replace(" ", "")
+    assert chunking.BREAKS.index("؟ ") < chunking.BREAKS.index("! ")
     docs = spark.createDataFrame([("u", "The title", "some text here"), (None, "", ""), ("w", "only", ""), ("x", "same", "same")], "url string, title string, content string")
     rows = {(r.scope, r.ord): r.text for r in chunking.chunk(docs).collect()}
     assert rows == {("u", 0): "The title", ("u", 1): "some text here", ("w", 0): "only", ("x", 0): "same"}
@@ -155,12 +161,37 @@ def test_evaluation(spark):
     r = evaluate.recall(evaluate.judged(c, keys)).first()
     assert (r.hits, r.trimmed, r.missed_by_gate, r.missed_by_rank) == (2, 1, 1, 2)
     assert evaluate.false_admits(c, keys).first().false_admits == 3
-    th = spark.createDataFrame([(0.2,), (0.95,)], "threshold double")
-    assert {x.threshold: x.hits for x in evaluate.sweep(c, keys, th).collect()} == {0.2: 1, 0.95: 3}
     a = spark.createDataFrame([(0, "?"), (1, "the key"), (2, "?"), (3, "key, not from the document")], "question_id long, answer string")
     assert {x.outcome: x.answers for x in evaluate.answer_faults(a, evaluate.judged(c, keys), keys, "not from").collect()} == {"correct": 1, "ungrounded": 1, "retrieval": 1, "generation": 1}
 
 
+def test_sweep_runs_retrieval_anew(spark, hybrid):
+    q = embed.embed(asked(spark, "red fox jumps", "blue whale", "zebra"), "question")
+    keys = spark.createDataFrame([(0, "fox"), (1, "whale"), (2, "zebra")], "question_id long, answer_key string")
+    settings = [{}, {"threshold": -1.0, "coverage": 2.0}, {"budget": 0}, {"threshold": 2.0, "dense_coverage": -1.0, "pool": 1}]
+    got = evaluate.sweep(lambda x, **given: fusion.retrieve(spark, x, hybrid, **given), {"all": (q, keys)}, settings).collect()
+    for given, r in zip(settings, got, strict=True):
+        found = fusion.retrieve(spark, q, hybrid, **{evaluate.SETTINGS[k]: v for k, v in given.items()})
+        want = evaluate.recall(evaluate.judged(found, keys)).first()
+        assert (r.questions, r.hits, r.trimmed, r.threshold) == (want.questions, want.hits, want.trimmed, given.get("threshold"))
+    assert got[0].hits == 2 and got[1].hits == 0 and got[2].trimmed == 2
+
+
+def test_unrelated_questions_are_put_to_every_document(spark, hybrid):
+    q = embed.embed(asked(spark, "zebra crossing", "red whale"), "question")
+    put = evaluate.in_every_scope(q, hybrid)
+    r = evaluate.false_admits(fusion.retrieve(spark, put, hybrid, threshold=2.0), put).first()
+    assert (r.questions, r.false_admits) == (4, 2)
+
+
+def test_unknown_policies_are_errors(spark):
+    from pyspark.errors import PySparkException
+
+    q = spark.createDataFrame([(0, "a", "strict"), (1, "b", "other")], "question_id long, question string, policy string")
+    with pytest.raises(PySparkException, match="unknown policy other"):
+        policy.prompts(spark, q, spark.createDataFrame([], "question_id long, texts array<string>")).collect()
+
+
 def test_bm25_queries_count_large_scopes(spark, tmp_path):
     from tamis.queries import QUERIES
 

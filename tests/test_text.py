@@ -46,6 +46,15 @@ def test_clean_visible(spark):
     assert apply(spark, T.clean_visible, t) == [unicodedata.normalize("NFKC", "ﬁ") + "xy" + T.ZWNJ + "z\nمتن 12"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("سال۱۴۰۱بود", "سال ۱۴۰۱ بود"), ("متن٣متن", "متن ٣ متن"), ("abcمتن9", "abc متن 9"), ("ٱ1", "ٱ 1"), ("ؠa", "ؠ a"), ("۱۲٪a", "۱۲٪a"), ("1،2", "1،2"), ("۱۲", "۱۲"), ("س1س", "س 1 س")],
+)
+def test_split_bidi(spark, text, want):
+    assert apply(spark, T.split_bidi, text) == [want]
+    assert apply(spark, T.clean_visible, text) == [want]
+
+
 @pytest.mark.parametrize(("text", "want"), [("سلام", True), ("hello", False), ("", False), ("سلام abcd", False), ("سلامت abcd", True), ("123", False)])
 def test_direction(spark, text, want):
     assert apply(spark, T.is_rtl, text) == [want]
@@ -72,15 +81,18 @@ def test_join_spans(spark):
     s = spark.createDataFrame([([("b", 20.0, 30.0), ("a", 0.0, 10.0), ("c", 30.5, 40.0), (" ", 50.0, 60.0)],)], "s array<struct<text:string,x0:double,x1:double>>")
     assert s.select(T.join_spans(F.col("s"), F.lit(False))).first()[0] == "a bc"
     assert s.select(T.join_spans(F.col("s"), F.lit(True))).first()[0] == "cb a"
+    s = spark.createDataFrame([([("a" + chr(0xAD) + "ﬁ", 0.0, 10.0), (chr(0x200E), 11.0, 12.0), ("سال۱۴", 30.0, 40.0), ("lost", None, None)],)], "s array<struct<text:string,x0:double,x1:double>>")
+    assert s.select(T.join_spans(F.col("s"), F.lit(False))).first()[0] == "afi سال ۱۴"
 
 
 def test_render(spark):
     rows = spark.createDataFrame([(["a", " ", "b"],)], "p array<string>")
     assert rows.select(T.render(F.col("p"))).first()[0] == "a\n\nb"
-    tables = [[["n", "v"], ["x", None], [None, ""], ["y", " 2 "]], [["n", None], ["x", "1"]], [["only", "row"]]]
+    tables = [[["n", "v"], ["x", None], [None, ""], ["y", " 2 "]], [["n", None], ["x", "1"]], [["only", "row"]], [["ﬁ", "سال۱۴"], ["a" + chr(0xAD) + "b", chr(0x200E)], ["c", "d", "more"]], [[None, " "]], []]
     rows = spark.createDataFrame([(t,) for t in tables], "t array<array<string>>")
-    assert [r[0] for r in rows.select(T.render_table(F.col("t"), F.lit(False))).collect()] == ["n | v\nn: x\nn: y | v: 2", "n\nx | 1", "only | row"]
-    assert rows.select(T.render_table(F.col("t"), F.lit(True))).first()[0] == "v | n\nn: x\nv: 2 | n: y"
+    got = [r[0] for r in rows.select(T.render_table(F.col("t"), F.lit(False))).collect()]
+    assert got == [["n | v", "n: x", "n: y | v: 2"], ["n", "x | 1"], ["only | row"], ["fi | سال ۱۴", "fi: ab", "fi: c | سال ۱۴: d"], [], []]
+    assert rows.select(T.render_table(F.col("t"), F.lit(True))).first()[0] == ["v | n", "n: x", "v: 2 | n: y"]
 
 
 def test_titles(spark):
