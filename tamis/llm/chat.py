@@ -10,7 +10,9 @@ their turns, and read as a stream: a conversation of any length needs the memory
 
 Defined cases: null role and text are empty; rows are ordered by turn (null first), then role and
 text, so ties have one order; repeated rows are turns of their own; a null conversation id is one
-conversation; texts are encoded whole, in stretches of STRETCH characters.
+conversation; a text of any length gives the ids of encoding it whole (it is cut only where the
+vocabulary's pattern ends a word in any case); an empty table has no conversations; other columns
+of the input, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.llm import shared
 from tamis.tables import read
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,7 +38,10 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 # This template's marks, and those of other templates, that content must not hold.
 MARKS = ("<|turn|>", "<|body|>", "<|end|>")
 CONTROL = (*MARKS, "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|im_start|>", "<|im_end|>")
+#: A text is cut at the first safe place after so many characters.
 STRETCH = 1 << 16
+#: No word of the pattern goes on from a character that is no space to a space or line feed.
+SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 TRAINED_ROLE = "assistant"
 
 _ADD = re.compile("|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in sorted(CONTROL, key=len, reverse=True)))
@@ -64,8 +70,12 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for at in range(0, len(text), STRETCH):
-            out += self.encoding.encode_ordinary(text[at : at + STRETCH])
+        at = 0
+        while at < len(text):
+            cut = SAFE.search(text, at + STRETCH)
+            end = cut.start() if cut else len(text)
+            out += self.encoding.encode_ordinary(text[at:end])
+            at = end
         return out
 
     def turn_of(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +111,8 @@ def _codec(vocabulary) -> Codec:
 
 
 def load(spark: SparkSession, path: str = VOCABULARY):
-    """The vocabulary as a broadcast variable: a file of fixed size (under a megabyte), read by the driver."""
-    with open(path, "rb") as f:
+    """The vocabulary as a broadcast variable: a file (path or URI) of fixed size, under a megabyte, read by the driver."""
+    with shared.open_read(path) as f:
         return spark.sparkContext.broadcast(f.read())
 
 

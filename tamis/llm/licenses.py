@@ -6,9 +6,11 @@ over hashed words whose states are the places in the wording; a text is accepted
 words leads from the first word to the end, so all mandatory wording must be there exactly.  Runs
 start only where a template's first two words stand, which are always mandatory.
 
-Defined cases: a null text has no words; labels are distinct, sorted and joined by commas, and empty
-where there are none; without a base place its first and last word are null.  The score is the share
-of literal wording in the best accepted span, 0.5 with base phrases alone, else 0.
+Defined cases: a null text has no words; a text of any length is read whole; labels are distinct,
+sorted and joined by commas, and empty where there are none; without a base place its first and last
+word are null; repeated rows are reported each; an empty table has no reports; other columns of the
+input, whatever their names, do not matter.  The score is the share of literal wording in the best
+accepted span, 0.5 with base phrases alone, else 0; a span is the longest one from its first word.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.llm.license_texts import NOTICES, TEXTS
 from tamis.llm.textbytes import ALNUM, LOWER, flat, forget_powers, pieces, word_bounds, word_hashes
 from tamis.tables import read
 
@@ -32,54 +35,7 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-# Wording of public licenses and of usual notices, with markup.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    (
-        "mit",
-        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-        the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
-        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
-        the following conditions the above copyright notice and this permission notice <<beginOptional>> including the next paragraph
-        <<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without
-        warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
-        purpose and noninfringement in no event shall the <<var;words=1-12>> be liable for any claim damages or other liability whether in an
-        action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the
-        software""",
-    ),
-    (
-        "isc",
-        """permission to use copy modify and <<beginOptional>> or <<endOptional>> distribute this software for any purpose with or without fee
-        is hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
-    ),
-    (
-        "bsd-2-clause",
-        """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
-        are met <<beginOptional>> 1 <<endOptional>> redistributions of source code must retain the above copyright notice this list of
-        conditions and the following disclaimer <<beginOptional>> 2 <<endOptional>> redistributions in binary form must reproduce the above
-        copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the
-        distribution""",
-    ),
-    ("apache", "licensed under the apache license <<beginOptional>> version <<var;words=1-2>> <<endOptional>>"),
-    (
-        "apache-2.0",
-        """licensed under the apache license version 2 0 <<beginOptional>> the license you may not use this file except in compliance with the
-        license you may obtain a copy of the license at <<var;words=1-8>> unless required by applicable law or agreed to in writing software
-        distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
-        <<endOptional>>""",
-    ),
-    ("gpl", "gnu general public license <<beginOptional>> version <<var;words=1-1>> <<endOptional>>"),
-    ("gpl-3.0", "gnu general public license <<beginOptional>> as published by the free software foundation either <<endOptional>> version 3"),
-    ("gpl-2.0", "gnu general public license <<beginOptional>> as published by the free software foundation either <<endOptional>> version 2"),
-    ("lgpl", "gnu lesser general public license <<beginOptional>> version <<var;words=1-2>> <<endOptional>>"),
-    ("mpl-2.0", "mozilla public license <<beginOptional>> v <<endOptional>> <<beginOptional>> version <<endOptional>> 2 0"),
-    ("cc-by-nc", "cc by nc <<beginOptional>> <<var;words=1-2>> <<endOptional>>"),
-    ("cc-by-sa", "cc by sa <<beginOptional>> <<var;words=1-2>> <<endOptional>>"),
-    ("cc-by-nd", "cc by nd <<beginOptional>> <<var;words=1-2>> <<endOptional>>"),
-    ("cc-by", "creative commons attribution <<var;words=0-3>> license"),
-    ("copyright", "copyright c <<var;words=1-12>> all rights reserved"),
-]
+TEMPLATES = TEXTS + NOTICES
 
 MARK = re.compile(r"<<(beginOptional|endOptional|var;words=(\d+)-(\d+))>>")
 

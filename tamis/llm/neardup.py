@@ -12,8 +12,10 @@
 
 Every row has a number of its own by which it is linked and removed; ids only choose who represents.
 
-Defined cases: as in simhash.py; texts without words are one group; of a group one row stays, that
-of least id (a null id last), and among rows of one id that of least hash of its words.
+Defined cases: a null text is empty; texts without words are one group; a text of fewer words than a
+shingle is one shingle; texts of any length are compared whole; of a group one row stays, that of
+least id (a null id last), and among rows of one id that of least hash of its words, of equal rows
+the first; an empty table has no groups; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -187,20 +189,18 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
     return tasks.repartition("job").mapInArrow(compare, "a long, b long")
 
 
-ROW = "__row"
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written down with a number for each row, the same in every pass; and the name of that column."""
+    name = shared.fresh(docs, "row_number")
+    return shared.table(spark, docs.withColumn(name, F.monotonically_increasing_id()), shared.scratch(spark, "rows")), name
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` written down with a number for each row, the same in every pass."""
-    return shared.table(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), shared.scratch(spark, "rows"))
-
-
-def _groups(spark: SparkSession, rows: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+def _groups(spark: SparkSession, rows: DataFrame, number: str, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
     """(row, id, component_id, first) of every row; first: the row that represents its group, component_id: the id of that.
 
     Two texts link if their sets of ``width``-word shingles have at least this Jaccard similarity."""
     folder = shared.scratch(spark, "neardup")
-    own = rows.select(F.col(ROW).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    own = rows.select(F.col(number).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     marks = shared.table(spark, sketches(own, width), f"{folder}/marks")
     # A null id stands last, so that it represents no other.
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "whole", "row"))
@@ -226,16 +226,17 @@ def _groups(spark: SparkSession, rows: DataFrame, doc_id: str, text: str, width:
 
 def near_groups(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row, integer ids; component_id: the least doc_id of the group."""
-    found = _groups(spark, _numbered(spark, docs.select(doc_id, text)), doc_id, text, width, similarity)
+    rows, number = _numbered(spark, docs.select(doc_id, text))
+    found = _groups(spark, rows, number, doc_id, text, width, similarity)
     return found.select(F.col("id").alias(doc_id), "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with its own columns; of each group of near copies the row of least id stays."""
-    rows = _numbered(spark, docs)
-    found = _groups(spark, rows, doc_id, text, width, similarity)
-    losers = shared.table(spark, found.where("row <> first").select(F.col("row").alias("__loser")), shared.scratch(spark, "losers"))
-    return rows.join(shared.broadcast_if_small(losers), F.col(ROW) == F.col("__loser"), "left_anti").drop(ROW)
+    rows, number = _numbered(spark, docs)
+    found = _groups(spark, rows, number, doc_id, text, width, similarity)
+    losers = shared.table(spark, found.where("row <> first").select(F.col("row").alias(number)), shared.scratch(spark, "losers"))
+    return rows.join(shared.broadcast_if_small(losers), number, "left_anti").drop(number)
 
 
 QUERIES: dict = {}

@@ -6,11 +6,14 @@ is the mean log ratio of its n-grams, so length does not count; a fixed threshol
 document.  Everything is DataFrame expressions on the JVM.  The driver holds the log ratios, one
 whole number (in thousandths) for each bucket, and puts them into the scoring plan as a constant.
 
-The trusted target are rows labelled good; at most ``trusted_rows`` of them (those of least hash,
-so always the same) are taken, which bounds the only broadcast.  Raw counts cover all documents.
-
-Defined cases: a null or empty text has no words, zero counts and fails the base rules; without
-trusted rows all log ratios are zero and the base rules decide; repeated rows are judged alike.
+The trusted target are all rows labelled good; their ids are broadcast while they are few, by count,
+and joined by a shuffle beyond.  Raw counts cover all documents.
+
+Defined cases: a null or empty text has no words, zero counts and fails the base rules; a text of any
+length is judged whole; without trusted rows all log ratios are zero and the base rules decide;
+repeated rows are judged alike, and each row of a trusted id counts for the target; a null id is not
+trusted; an empty table has no verdicts; other columns of the input, whatever their names, are kept
+by ``keep_good`` and do not matter otherwise.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.llm import shared
 from tamis.tables import read
 
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -27,7 +31,6 @@ SYMBOL_OTHERS = r"[^#*$%&|<>]+"
 WINDOW = 8
 BUCKETS = 1 << 15
 UNIT = 1000
-TRUSTED_ROWS = 20_000
 #: Mean log ratio of an n-gram, below which a text is unlike the trusted target.
 THRESHOLD = -0.25
 MIN_WORDS = 20
@@ -64,11 +67,10 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def weights(spark: SparkSession, docs: DataFrame, trusted: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> list[int]:
+def weights(spark: SparkSession, docs: DataFrame, trusted: DataFrame) -> list[int]:
     """The log ratio of each bucket in thousandths.  docs: doc_id, text.  trusted: doc_id."""
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted_rows)
-    marked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left").select("trusted_id", words(F.col("text")).alias("words"))
+    marked = docs.join(shared.broadcast_if_small(ids), F.col("doc_id") == F.col("trusted_id"), "left").select("trusted_id", words(F.col("text")).alias("words"))
     # An outer explode: a plain one infers a filter on the array's size, which is pushed down to the scan.
     grams = features(marked).select("trusted_id", F.explode_outer("grams").alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted_id").alias("target"))
@@ -95,15 +97,15 @@ def repeat_words(h8: Column) -> Column:
     return F.when(F.size(F.array_distinct(h8)) < F.size(h8), let(ordered, covered)).otherwise(F.lit(0)).cast("long")
 
 
-def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return _verdicts(spark, own, own, trusted, threshold, trusted_rows)[0].withColumnRenamed("doc_id", doc_id)
+    return _verdicts(spark, own, own, trusted, threshold).withColumnRenamed("doc_id", doc_id)
 
 
-def _verdicts(spark: SparkSession, own: DataFrame, keyed: DataFrame, trusted: DataFrame, threshold: float, trusted_rows: int) -> tuple[DataFrame, list[str]]:
-    """Verdicts on ``keyed`` (text and any other columns), learnt from ``own`` (doc_id, text); and the names added."""
-    model = weights(spark, own, trusted, trusted_rows)
+def _verdicts(spark: SparkSession, own: DataFrame, keyed: DataFrame, trusted: DataFrame, threshold: float) -> DataFrame:
+    """Verdicts on ``keyed`` (text and one other column), learnt from ``own`` (doc_id, text)."""
+    model = weights(spark, own, trusted)
     rest = [c for c in keyed.columns if c != "text"]
     # Plain counts of the text stand beside the words, so the text itself ends here.
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
@@ -127,19 +129,17 @@ def _verdicts(spark: SparkSession, own: DataFrame, keyed: DataFrame, trusted: Da
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = third.withColumn("base_failed", failed)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    # The last term is always true.  It keeps filters above from being pushed below, where each would
-    # compute the arrays anew for every item.
-    fixed = F.monotonically_increasing_id() >= 0
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & fixed), names
+    # A barrier, always true: the optimizer moves no filter below an expression that depends on the
+    # row's place, where it would compute the arrays anew for every item of a condition.
+    barrier = F.monotonically_increasing_id() >= 0
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & barrier)
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with its own columns, without those that the rules reject."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    judged, _ = _verdicts(spark, own, whole, trusted, threshold, trusted_rows)
-    return judged.where("kept").select("row.*")
+    return _verdicts(spark, own, whole, trusted, threshold).where("kept").select("row.*")
 
 
 def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

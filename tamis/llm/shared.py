@@ -10,7 +10,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
@@ -18,21 +17,12 @@ from urllib.parse import urlparse
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.tables import shared_folder
+
 
 def base_dir(spark: SparkSession) -> str:
     """The shared folder as a URI; a temporary one only where the session names none and all runs on one machine."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc._jsc.sc().getCheckpointDir().get()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tamis-")
-        sc.setCheckpointDir(named)
-    # A path without a scheme lies in the cluster's default file system, not on this machine.
-    path = sc._jvm.org.apache.hadoop.fs.Path(named)
-    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return shared_folder(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -146,6 +136,14 @@ def get_arrays(uri: str) -> dict[str, np.ndarray]:
     return {name: np.asarray(raw[a:b]).view(kind) for name, (a, b, kind) in table.items()}
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in upper or lower case."""
+    own = {c.lower() for c in docs.columns}
+    while name.lower() in own:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished passes, which nothing reads again."""
     import gc

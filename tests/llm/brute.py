@@ -189,3 +189,48 @@ def base_licenses(t, phrases):
                 places.append(a)
                 labels.add(name)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def template_pattern(template):
+    """A template with markup as a regular expression over words that are each followed by a space."""
+    import re
+
+    out, at = [], 0
+    word = lambda part: "".join(re.escape(w) + " " for w in alnum_words(part))
+    for m in re.finditer(r"<<(beginOptional|endOptional|var;words=(\d+)-(\d+))>>", template):
+        out.append(word(template[at : m.start()]))
+        at = m.end()
+        out.append({"b": "(?:", "e": ")?"}.get(m[1][0]) or f"(?:[^ ]+ ){{{m[2]},{m[3]}}}")
+    return re.compile("(?<![^ ])" + "".join(out) + word(template[at:]))
+
+
+def license_labels(text, templates):
+    line = "".join(w + " " for w in alnum_words(text))
+    return {label for label, t in templates if template_pattern(t).search(line)}
+
+
+def target_ratios(docs, trusted, buckets=1 << 15):
+    """Of each document the mean log ratio of its hashed n-grams, target against raw, in whole thousandths a bucket."""
+    import xxhash
+
+    def long(h, seed):
+        return xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+
+    def grams(t):
+        w = space_words(t, lower=False)
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        two = [0 if a == b else long(b, long(a, 42)) for a, b in zip(one, one[1:], strict=False)]
+        end = [xxhash.xxh64_intdigest((3).to_bytes(4, "little"), xxhash.xxh64_intdigest(x[-3:].encode(), 42)) for x in w]
+        return [h % buckets for h in one + two + end]
+
+    each = [(d, grams(t)) for d, t in docs]
+    raw, target = [1] * buckets, [1] * buckets
+    for d, g in each:
+        for x in g:
+            raw[x] += 1
+            target[x] += d in trusted
+    if sum(target) == buckets:
+        return [(d, 0.0) for d, _ in each]
+    apart = math.log(sum(raw) / sum(target))
+    weight = [round(1000 * (math.log(t / r) + apart)) for t, r in zip(target, raw, strict=True)]
+    return [(d, sum(weight[x] for x in g) / (1000 * len(g)) if g else 0.0) for d, g in each]

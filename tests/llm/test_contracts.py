@@ -367,10 +367,41 @@ def test_licenses(spark, odd, small):
         want = {d: brute.base_licenses(t, licenses.BASE) for d, t in pairs_of(frame)}
         for r in licenses.scan(frame).collect():
             assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want[r.doc_id]
-            assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+def license_samples():
+    """Every template as a text: plain, with its optional parts left out, and with a mandatory word lost."""
+    marks = r"<<(begin|end)Optional>>"
+    for label, t in licenses.TEMPLATES:
+        t = re.sub(r"<<var;words=(\d+)-(\d+)>>", lambda m: " ".join(["Owner"] * int(m[1])), t)
+        for optional in (True, False):
+            own = re.sub(marks, " ", t) if optional else re.sub(r"<<beginOptional>>(?:(?!<<).)*<<endOptional>>", " ", t, flags=re.S)
+            own = re.sub(marks, " ", own)
+            words = own.split()
+            yield label, f"Copyright (c) 2020 A B\n\n{own.upper()}\nand more text", True
+            cut = len(words) * 2 // 3
+            yield label, " ".join(words[:cut] + ["changed", "entirely"] + words[cut + 1 :]), None
+
+
+def test_license_templates(spark, odd, small):
+    samples = list(license_samples())
+    made = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(samples)], "doc_id long, text string").repartition(2)
+    labels_of = lambda r: set(filter(None, r.labels.split(",")))
+    for frame in (odd, small, made):
+        want = {d: brute.license_labels(t, licenses.TEMPLATES) | set(filter(None, brute.base_licenses(t, licenses.BASE)[4].split(","))) for d, t in pairs_of(frame)}
+        for r in licenses.scan(frame).collect():
+            assert labels_of(r) == want[r.doc_id] and r.labels == ",".join(sorted(labels_of(r)))
+            literal = [s.words for s in r.spans]
+            assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels_of(r)) and (r.spans or r.score in (0, 0.5)) and all(literal)
+    got = {r.doc_id: labels_of(r) for r in licenses.scan(made).collect()}
+    assert all(label in got[i] for i, (label, _, whole) in enumerate(samples) if whole)
+    # Wording that only one license has tells it from its kin.
+    full = {label: got[i] for i, (label, _, whole) in enumerate(samples) if whole}
+    assert "bsd-2-clause" not in full["bsd-3-clause"] and "bsd-3-clause" not in full["bsd-2-clause"]
+    assert "mit" not in full["mit-0"] and "isc" not in full["0bsd"] and "gpl-2.0-or-later" not in full["gpl-3.0-or-later"]
+
+
 @pytest.mark.parametrize(
     ("text", "ok"),
     [("a b c d e", True), ("a b d e", True), ("a b c e", False), ("a b d x e", False), ("a b c d", False), ("x a b, C! d. E y", True)],
@@ -411,10 +442,28 @@ def test_quality_verdict_and_plan(spark, small):
     assert not re.search("Python|Pandas|Arrow", plan)
     kept = quality.keep_good(spark, small, good)
     assert kept.schema == small.schema and kept.count() == quality.judge(spark, small, good).where("kept").count()
+    whole = {d for d, in good.collect()}
+    ratios = dict(brute.target_ratios(pairs_of(small), whole))
+    for r in quality.judge(spark, small, good).collect():
+        assert r.llr == pytest.approx(ratios[r.doc_id], abs=1e-12)
+        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
     untrusted = quality.judge(spark, small, good.limit(0))
     assert untrusted.where("kept = base_failed or llr <> 0").count() == 0
 
 
+def test_quality_awkward_rows(spark, odd):
+    ids = [0, 3, 6, 9, 9, None, 10_000]
+    trusted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    clash = odd.withColumn("words", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("h1", F.lit(2)).withColumn("Trusted_Id", F.lit(3))
+    rows_ = clash.union(clash.where("doc_id = 9")).union(clash.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = [(r.doc_id, r.text) for r in rows_.collect()]
+    ratios = collections.Counter((d, round(x, 12)) for d, x in brute.target_ratios(docs, set(ids) - {None}))
+    assert collections.Counter((r.doc_id, round(r.llr, 12)) for r in quality.judge(spark, rows_, trusted).collect()) == ratios
+    kept = quality.keep_good(spark, rows_, trusted)
+    assert kept.schema == rows_.schema and kept.count() == quality.judge(spark, rows_, trusted).where("kept").count()
+    assert quality.judge(spark, rows_.limit(0), trusted).count() == 0 and quality.keep_good(spark, rows_.limit(0), trusted).count() == 0
+
+
 # ---- 8: classifier ----
 
 
@@ -500,6 +549,17 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.in_order(chat.encode(frame.limit(0), vocabulary)), vocabulary).count() == 0
 
 
+def test_chat_cuts_change_no_id(spark, monkeypatch):
+    codec = chat.Codec(chat.load(spark).value)
+    r = random.Random(8)
+    parts = [" ", "  ", "\n", "\n\n ", "\t", "\x1c", chr(0xA0), chr(0x3000), "word", "Don't", "'ll", "12", "３", "...", "é漢字", "\x00", " x", "$%", chr(0x200C), chr(0x85)]
+    for stretch in (1, 7, 50):
+        monkeypatch.setattr(chat, "STRETCH", stretch)
+        for _ in range(300):
+            text = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
+            assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+
+
 def test_chat_query(spark):
     got = {r.conv_id: r for r in chat.op10_chat(spark, SF).collect()}
     by = collections.defaultdict(list)
