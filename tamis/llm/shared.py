@@ -144,6 +144,33 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def add_up(parts: DataFrame) -> dict[str, np.ndarray]:
+    """Sums of vectors (key string, vector binary of doubles) by key.  A task sends one vector a key, and one task adds those of a key.
+
+    Keys and lengths of vectors are the caller's, whatever the input's size; the driver gets one vector a key."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for key, raw in zip(batch.column("key").to_pylist(), batch.column("vector"), strict=True):
+                v = np.frombuffer(raw.as_buffer(), float)
+                total[key] = total[key] + v if key in total else v
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["key", "vector"])
+
+    tasks = parts.sparkSession.sparkContext.defaultParallelism
+    summed = parts.select("key", "vector").repartition(tasks, "key").mapInArrow(run, "key string, vector binary")
+    return {r.key: np.frombuffer(bytes(r.vector), float) for r in summed.collect()}
+
+
+def vectors(named: dict[str, np.ndarray]):
+    """A batch of such vectors."""
+    import pyarrow as pa
+
+    return pa.record_batch([pa.array(list(named), pa.string()), pa.array([np.asarray(v, float).tobytes() for v in named.values()], pa.binary())], names=["key", "vector"])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished passes, which nothing reads again."""
     import gc

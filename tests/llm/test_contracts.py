@@ -477,18 +477,79 @@ def test_classifier_separates_and_ignores_held_out_labels(spark):
     assert right >= 0.95, right
 
 
-def test_classifier_prior_and_edges(spark, odd):
+def test_classifier_sums_and_prior(spark):
+    """Trained on tables, the model is the one that plain numpy makes of all rows at once."""
     rng = np.random.default_rng(0)
-    pos = rng.normal(1.5, 1, (3000, classifier.FEATURES))
-    mix = np.vstack([rng.normal(1.5, 1, (2800, classifier.FEATURES)), rng.normal(-1.5, 1, (1200, classifier.FEATURES))])
-    model = classifier.fit(pos, mix)
-    assert abs(model.prior - 0.7) < 0.07
-    none = classifier.fit(pos[:0], mix)
-    assert (none(mix) == 0.5).all()
-    from tamis.llm import shared
-
-    table = classifier.feature_table(spark, odd, "text", ["doc_id"], shared.scratch(spark, "f"))
-    assert classifier.apply(model, table, ["doc_id"]).count() == odd.count()
+    good = rng.random(1200) < 0.7
+    x = rng.normal(0, 1, (1200, classifier.FEATURES))
+    x[:, :6] += np.where(good, 1.0, -1.0)[:, None]
+    ids = [*range(1100), *[None] * 40, *range(60)]  # nulls and repeated ids
+    frame = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in zip(ids, x, strict=True)], "doc_id long, x array<float>").repartition(5)
+    named = [i for i in range(1100) if good[i] and i % 2] + [None, 7, 7]
+    named = spark.createDataFrame([(i,) for i in named], "doc_id long")
+    model = classifier.train(frame, named, doc_id="doc_id", learn=F.col("doc_id").isNull() | (F.col("doc_id") < 1000))
+    rows_ = frame.where("doc_id is null or doc_id < 1000").withColumn("half", F.xxhash64("doc_id").bitwiseAND(F.lit(1))).collect()
+    v = np.array([r.x for r in rows_])
+    half = np.array([r.half for r in rows_])
+    trusted_ids = {r.doc_id for r in named.collect()} - {None}
+    pos = np.array([r.doc_id in trusted_ids for r in rows_])
+    mean, scale = v.mean(axis=0), v.std(axis=0) + 1e-3
+    a = classifier.expand(v, mean, scale)
+    p, u = ([classifier.Sums.of(a[(half == h) & m]) for h in (0, 1)] for m in (pos, np.ones(len(a), bool)))
+    count = lambda w, m: sum(np.bincount(classifier.bin_of(a[(half == h) & m] @ w[1 - h]), minlength=classifier.BINS) for h in (0, 1))
+    every = np.ones(len(a), bool)
+    first = [classifier.telling(p[h], u[h]) for h in (0, 1)]
+    prior = classifier.best_bin_prior(count(first, pos), count(first, every))
+    w = [classifier.least_risk(p[h], u[h], prior) for h in (0, 1)]
+    assert model.prior == pytest.approx(prior) and abs(prior - 0.7) < 0.1
+    assert np.allclose(model.weights, (w[0] + w[1]) / 2, atol=1e-8)
+    assert np.allclose(model.shares, classifier.calibration(count(w, pos), count(w, every), prior))
+    assert (np.diff(model.shares) >= 0).all() and ((model(x) >= 0.5) == good).mean() > 0.9
+    # The risk at the result is no worse than anywhere near, and its negative part was held at zero.
+    risk = lambda w: prior * (1 - 2 * p[0].mean @ w + w @ p[0].products @ w) / 4 + max(0.0, (1 + 2 * u[0].mean @ w + w @ u[0].products @ w) / 4 - prior * (1 + 2 * p[0].mean @ w + w @ p[0].products @ w) / 4) + w @ classifier._ridge(p[0].n) @ w / 4
+    assert risk(w[0]) < risk(np.zeros(classifier.SIZE)) and all(risk(w[0]) <= risk(w[0] + 0.05 * rng.normal(size=classifier.SIZE)) for _ in range(50))
+    for none in (named.limit(0), named.where("doc_id is null")):
+        empty = classifier.train(frame, none, doc_id="doc_id", learn=F.lit(True))
+        assert (empty(x) == 0.5).all()
+    assert classifier.train(frame.limit(0), named, doc_id="doc_id", learn=F.lit(True)).weights is None
+
+
+def test_classifier_features(odd):
+    """Hashed counts against a plain count, for every awkward text at once and alone."""
+    from tamis.llm.textbytes import flat
+
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in awkward()]
+    both = classifier.features(*flat(pa.array(texts, pa.string())))
+    for t, x in zip(texts, both, strict=True):
+        alone = classifier.features(*flat(pa.array([t], pa.string())))[0]
+        assert np.allclose(alone, x)
+        raw = brute.lower_ascii(t).encode()
+        grams = collections.Counter(raw[i : i + 3] for i in range(len(raw) - 2))
+        assert (alone[classifier.SHAPE + classifier.WORDS :] ** 2).sum() == pytest.approx(1.0 if grams else 0.0)
+        words = collections.Counter(brute.space_words(t))
+        assert (alone[classifier.SHAPE : classifier.SHAPE + classifier.WORDS] ** 2).sum() == pytest.approx(1.0 if words else 0.0)
+        if len(words) == 1:
+            assert alone[classifier.SHAPE : classifier.SHAPE + classifier.WORDS].max() == pytest.approx(1.0)
+
+
+def test_classifier_awkward_rows(spark, odd, monkeypatch, tmp_path):
+    more = odd.withColumn("x", F.lit(1)).withColumn("good", F.lit("c")).withColumn("score", F.lit(0.1))
+    rows_ = more.union(more.where("doc_id = 9")).union(more.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    for docs, n in ((rows_, rows_.count()), (rows_.limit(0), 0)):
+        folder = f"{tmp_path}/{n}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in (0, 3, 6, 9, 9, None, 40)] + [(12, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = classifier.op8_quality_classifier(spark, folder).collect()
+        assert len(got) == n and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+        of = collections.defaultdict(set)
+        for r in got:
+            of[r.doc_id].add(r.score)
+        assert all(len(x) == 1 for x in of.values())
+        if n:
+            # The row whose id was taken away has the text of document 6, and its score.
+            assert of[None] == of[6]
 
 
 # ---- 9: mixing ----
