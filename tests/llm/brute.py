@@ -234,3 +234,67 @@ def target_ratios(docs, trusted, buckets=1 << 15):
     apart = math.log(sum(raw) / sum(target))
     weight = [round(1000 * (math.log(t / r) + apart)) for t, r in zip(target, raw, strict=True)]
     return [(d, sum(weight[x] for x in g) / (1000 * len(g)) if g else 0.0) for d, g in each]
+
+
+def mixed(rows, budget=0.75, seed=20_240_101, targets=None, rounds=100):
+    """rows (id, text, source, lang): of each its tokens, source, language, topic, probability, weight and whether it is kept."""
+    import numpy as np
+    from tamis.llm.textbytes import LOWER, NONSPACE, word_bounds, word_hashes
+
+    def bucket(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(word_hashes(raw, *word_bounds(raw, np.array([0, len(raw)]), NONSPACE)[:2])[0] >> np.uint64(48))
+
+    said = [collections.Counter(bucket(w) for w in space_words(t) if len(w.encode()) >= 5) for _, t, _, _ in rows]
+    have = collections.Counter(b for c in said for b in c)
+    common = sorted((b for b, n in have.items() if n <= 0.1 * len(rows)), key=lambda b: (-have[b], b))[:24]
+    rare = {b: math.log(len(rows) / have[b]) for b in common}
+    topics = []
+    for c in said:
+        own = [(-c[b] * rare[b], b) for b in common if b in c]
+        topics.append(f"topic-{min(own)[1]:04x}" if own else "(other)")
+    tokens = [len(space_words(t, lower=False)) for _, t, _, _ in rows]
+    keys = [(s or "(none)", g or "(none)", k) for (_, _, s, g), k in zip(rows, topics, strict=True)]
+    cell = collections.Counter()
+    for k, n in zip(keys, tokens, strict=True):
+        cell[k] += n
+    total = sum(cell.values())
+    wants = []
+    for m, power in enumerate((0.5, 0.7, 0.7)):
+        sums = collections.Counter()
+        for k, n in cell.items():
+            sums[k[m]] += n
+        all_ = sum(n**power for n in sums.values()) or 1.0
+        want = {k: n**power / all_ for k, n in sums.items()}
+        given = (targets or {}).get(("source", "lang", "topic")[m])
+        if given:
+            want = {k: given.get(k, v) for k, v in want.items()}
+            want = {k: v / sum(want.values()) for k, v in want.items()}
+        wants.append(want)
+    w = dict.fromkeys(cell, 1.0)
+    for _ in range(rounds if total else 0):
+        off = 0.0
+        for m, want in enumerate(wants):
+            now = collections.Counter()
+            for k in cell:
+                now[k[m]] += cell[k] * w[k] / total
+            off = max([off] + [abs(now[k] - want[k]) for k in now if now[k] > 0])
+            for k in cell:
+                if now[k[m]] > 0:
+                    w[k] *= want[k[m]] / now[k[m]]
+        if off < 1e-9:
+            break
+    some = [k for k in cell if cell[k] and w[k] > 0]
+    low, high = 0.0, max([1 / w[k] for k in some], default=1.0)
+    if some and budget < 1:
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(cell[k] * min(1, mid * w[k]) for k in some) < budget * total else (low, mid)
+    rate = high
+    out = []
+    for (i, _, _, _), k, n in zip(rows, keys, tokens, strict=True):
+        p = min(1.0, rate * w[k])
+        inner = 42 if i is None else xxhash.xxh64_intdigest((i % 2**64).to_bytes(8, "little"), 42)
+        u = (xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), inner) >> 11) / 2**53
+        out.append((i, n, *k, p, rate * w[k] / p if rate * w[k] > 0 else 1.0, u < p))
+    return out

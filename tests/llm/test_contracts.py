@@ -568,15 +568,41 @@ def test_rake_meets_margins():
         assert (tokens * np.minimum(1, r * w)).sum() == pytest.approx(share * tokens.sum())
 
 
-def test_mix_budget_memory_and_tables(spark, small, odd):
-    a = mixing.mix(spark, small).select("id", "tokens", "probability", "kept").toPandas().set_index("id")
-    b = mixing.mix(spark, small, most_cells=0).select("id", "probability").toPandas().set_index("id")
-    assert (a.tokens * a.probability).sum() == pytest.approx(mixing.BUDGET * a.tokens.sum())
-    assert np.abs(a.probability - b.probability.reindex(a.index)).max() < 1e-3
-    assert 0.5 < (a.tokens * a.kept).sum() / a.tokens.sum() < 0.95
-    out = mixing.mix(spark, odd, targets={"lang": {"en": 0.5}}).select("row.*", "probability")
-    assert out.count() == odd.count() and out.columns[:-1] == odd.columns
-    assert mixing.mix(spark, odd.limit(0)).count() == 0
+def check_mix(got, want):
+    key = lambda r: repr((r[0] is None, r[0], r[1], r[4], r[7]))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (g[:5], g[7]) == (w[:5], w[7])
+        assert g[5:7] == pytest.approx(w[5:7], rel=1e-7, abs=1e-9)
+
+
+MIXED = ("id", "tokens", "source", "lang", "topic", "probability", "weight", "kept")
+
+
+def test_mix_query(spark, small):
+    want = brute.mixed([(r.doc_id, r.text, r.source, r.lang) for r in small.collect()])
+    got = mixing.op9_mixing(spark, SF)
+    check_mix([tuple(r) for r in got.select("doc_id", *MIXED[1:]).collect()], want)
+    tokens = sum(w[1] for w in want)
+    assert sum(w[1] * w[5] for w in want) == pytest.approx(mixing.BUDGET * tokens) and len({w[4] for w in want}) > 5
+    assert 0.5 < sum(w[1] * w[7] for w in want) / tokens < 0.95
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_mix_memory_and_tables_agree_on_contradictory_margins(spark, odd, most):
+    # Each source has one language, and their targets contradict each other.
+    rows_ = odd.withColumn("source", F.col("lang")).withColumn("kept", F.lit("c")).withColumn("tokens", F.lit(9)).withColumn("Topic", F.lit("t")).withColumn("given", F.lit(1))
+    rows_ = rows_.union(rows_.where("doc_id = 9")).union(rows_.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    targets = {"lang": {"en": 0.9, "absent": 0.5}, "source": {"en": 0.2}}
+    want = brute.mixed([(r.doc_id, r.text, r.source, r.lang) for r in rows_.collect()], targets=targets, rounds=4)
+    out = mixing.mix(spark, rows_, targets=targets, rounds=4, most_cells=most)
+    check_mix([tuple(r) for r in out.select(*MIXED).collect()], want)
+    assert out.select("row.*").schema == rows_.schema
+    named = mixing.mix(spark, rows_, topic=F.col("spans"), rounds=2, most_cells=most)
+    assert {r.topic for r in named.select("topic").collect()} == {"clash"}
+    assert mixing.mix(spark, rows_.limit(0), most_cells=most).count() == 0
+    empty = mixing.mix(spark, rows_.withColumn("text", F.lit(None).cast("string")), most_cells=most)
+    assert {(r.tokens, r.topic) for r in empty.select("tokens", "topic").collect()} == {(0, "(other)")}
 
 
 # ---- 10: chat ----
