@@ -260,6 +260,7 @@ def mix(
     def described(t: pa.Array) -> pa.Array:
         return found.describe(t)
 
+    described = described.asNondeterministic()  # so that the optimizer does not compute it once for each field
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     given = docs.select(whole, F.col(doc_id).alias("id"), described(F.col(text)).alias("d"), named(F.col(source)).alias("source"), named(F.col(lang)).alias("lang"), (F.lit(None) if topic is None else named(topic)).alias("given"))
