@@ -1,8 +1,15 @@
-"""The corpus pipeline: five stages, each from documents to documents."""
+"""The corpus pipeline: five stages, each from documents to documents.
+
+Defined cases, in every stage: a null or empty text has no words, so the quality rules reject it; a
+text of any length is treated whole; of equal rows the near-duplicate stage keeps one, and of rows that
+share an id but not the text each is judged for itself; a null id stands after all others; an empty
+table stays empty; other columns are kept, whatever their names, but those the last stage adds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamis.llm import decontaminate, mixing, neardup, quality, shared, substrings
 from tamis.tables import read
@@ -29,9 +36,13 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by calibrated probabilities, with the weight by which each document counts."""
+    """A sample by calibrated probabilities, with the weight by which each document counts.
+
+    Columns of the input that are named like an added one give way to it."""
     mixed = mixing.mix(spark, docs).where("kept")
-    return mixed.select("row.*", mixed.tokens.alias("mix_tokens"), mixed.topic.alias("mix_topic"), mixed.probability.alias("mix_probability"), mixed.weight.alias("mix_weight"))
+    added = {"mix_tokens": "tokens", "mix_topic": "topic", "mix_probability": "probability", "mix_weight": "weight"}
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in added]
+    return mixed.select(*own, *[F.col(c).alias(name) for name, c in added.items()])
 
 
 STAGES = [
