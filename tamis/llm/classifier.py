@@ -348,17 +348,15 @@ def remainder(doc_id: str, folds: int) -> Column:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = shared.mark()
     docs = read(spark, sf_dir, "documents")
-    features_uri = shared.scratch(spark, "features")
-    table = feature_table(spark, docs, "text", ["doc_id"], features_uri)
+    table = feature_table(spark, docs, "text", ["doc_id"], shared.scratch(spark, "features"))
     learn = remainder("doc_id", FOLDS) != HELD_OUT
     trusted = read(spark, sf_dir, "labels").where(learn).where("quality = 1")
     model = train(table, trusted, doc_id="doc_id", learn=learn)
     scored = apply(model, table, ["doc_id"]).select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
     # Scores are small; with them written, the features can go.
-    out = shared.table(spark, scored, shared.scratch(spark, "quality"))
-    shared.drop(spark, features_uri)
-    return out
+    return shared.finish(spark, scored, "quality", mark)
 
 
 QUERIES = {"op8_quality_classifier": op8_quality_classifier}

@@ -257,8 +257,9 @@ def replace_text(part: pa.RecordBatch, text: str, texts: list[str | None], lengt
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = shared.mark()
     found = decontaminate(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return shared.finish(spark, found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), "hits", mark)
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate}

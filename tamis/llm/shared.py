@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
@@ -25,10 +26,35 @@ def base_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+class _Made(threading.local):
+    """Scratch folders that this thread has named, in order."""
+
+    def __init__(self):
+        self.uris: list[str] = []
+
+
+_made = _Made()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder below the shared one."""
     base = base_dir(spark)
-    return f"{base}/tamis/{name}-{uuid.uuid4().hex[:12]}"
+    _made.uris.append(f"{base}/tamis/{name}-{uuid.uuid4().hex[:12]}")
+    return _made.uris[-1]
+
+
+def mark() -> int:
+    """Where the folders of what begins now will begin."""
+    return len(_made.uris)
+
+
+def finish(spark: SparkSession, df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` as a written table; the scratch folders named since ``mark``, from which it was computed, go."""
+    uri = scratch(spark, name)
+    out = table(spark, df, uri)
+    drop(spark, *[u for u in _made.uris[since:] if u != uri])
+    _made.uris[since:] = [uri]
+    return out
 
 
 def drop(spark: SparkSession, *uris: str) -> None:

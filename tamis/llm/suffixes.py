@@ -57,32 +57,46 @@ def run_keys(prefix: np.ndarray, first: np.ndarray, last: np.ndarray, picked: np
     return key, mix(whole + (picked - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-class Level:
-    """One sorted array of suffixes: ordered by two symbols of hashed text, with the first place of each."""
-
-    __slots__ = ("a", "b", "doc", "at", "tag")
+def symbols(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two hashes as one string of sixteen bytes."""
+    return np.ascontiguousarray(np.column_stack([a, b]).astype(">u8")).view("S16").ravel()
 
-    def __init__(self, a, b, doc, at, tag):
-        self.a, self.b, self.doc, self.at, self.tag = a, b, doc, at, tag
 
-    def __len__(self) -> int:
-        return len(self.a)
+def windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes at these places, as far as they matter: strings of ``length`` bytes."""
+    if not len(starts):
+        return np.zeros(0, f"S{length}")
+    return np.lib.stride_tricks.sliding_window_view(data, length)[starts].view(f"S{length}").ravel()
 
 
 Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def level(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray, tag: np.ndarray) -> tuple[Level, Places]:
-    """Sort suffixes; equal ones become one entry with the first place.  Also: the places of the others."""
-    order = np.lexsort((b, a))
-    a, b, doc, at, tag = a[order], b[order], doc[order], at[order], tag[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+class Level:
+    """A sorted array of suffixes, each as a string of one fixed width, with the first place of each.
+
+    Strings of one width that differ only in zero bytes at their ends would be equal; of whole width they are not."""
+
+    __slots__ = ("key", "doc", "at", "tag")
+
+    def __init__(self, key, doc, at, tag):
+        self.key, self.doc, self.at, self.tag = key, doc, at, tag
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+
+def level(key: np.ndarray, doc: np.ndarray, at: np.ndarray, tag: np.ndarray) -> tuple[Level, Places]:
+    """Sort the suffixes of a batch; equal ones become one entry with the first place.  Also: the places of the others."""
+    order = np.argsort(key, kind="stable")
+    key, doc, at, tag = key[order], doc[order], at[order], tag[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    sizes = np.diff(np.append(first, len(a)))
+    sizes = np.diff(np.append(first, len(key)))
     many = np.repeat(sizes > 1, sizes)
     if not many.any():
-        return Level(a, b, doc, at, tag), (doc[:0], at[:0], tag[:0])
+        return Level(key, doc, at, tag), (doc[:0], at[:0], tag[:0])
     # Only groups of several are put in order of place.
     m = np.flatnonzero(many)
     group = np.repeat(np.arange(len(first)), sizes)[m]
@@ -90,7 +104,33 @@ def level(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray, tag: np
     doc[m], at[m], tag[m] = doc[o], at[o], tag[o]
     # Rows that share an id share their places: none is earlier than the other.
     later = ~new & ((doc != np.repeat(doc[first], sizes)) | (at != np.repeat(at[first], sizes)))
-    return Level(a[first], b[first], doc[first], at[first], tag[first]), (doc[later], at[later], tag[later])
+    return Level(key[first], doc[first], at[first], tag[first]), (doc[later], at[later], tag[later])
+
+
+def merge(x: Level, y: Level) -> tuple[Level, Places]:
+    """One level of two, by a scan of y along x.  Where a suffix stands in both, the earlier place stays; also: the later places."""
+    spot = np.searchsorted(x.key, y.key)
+    both = np.zeros(len(y), dtype=bool)
+    inside = np.flatnonzero(spot < len(x))
+    both[inside] = x.key[spot[inside]] == y.key[inside]
+    old, now = spot[both], np.flatnonzero(both)
+    first = (y.doc[now] < x.doc[old]) | ((y.doc[now] == x.doc[old]) & (y.at[now] < x.at[old]))
+    apart = (y.doc[now] != x.doc[old]) | (y.at[now] != x.at[old])
+    later = tuple(np.where(first, getattr(x, k)[old], getattr(y, k)[now])[apart] for k in ("doc", "at", "tag"))
+    for k in ("doc", "at", "tag"):
+        getattr(x, k)[old[first]] = getattr(y, k)[now[first]]
+    # What is new goes between the entries of x.
+    rest = np.flatnonzero(~both)
+    slot = spot[rest] + np.arange(len(rest))
+    kept = np.ones(len(x) + len(rest), dtype=bool)
+    kept[slot] = False
+    out = []
+    for k in Level.__slots__:
+        a, b = getattr(x, k), getattr(y, k)
+        c = np.empty(len(kept), a.dtype)
+        c[kept], c[slot] = a, b[rest]
+        out.append(c)
+    return Level(*out), later
 
 
 class Family:
@@ -101,25 +141,21 @@ class Family:
     def __init__(self):
         self.levels: list[Level] = []
 
-    def add(self, a, b, doc, at, tag) -> list[Places]:
-        new, later = level(a, b, doc, at, tag)
+    def add(self, key, doc, at, tag) -> list[Places]:
+        new, later = level(key, doc, at, tag)
         found = [later]
         while self.levels and len(self.levels[-1]) <= 2 * len(new):
-            new, later = self._merge(self.levels.pop(), new)
+            new, later = merge(self.levels.pop(), new)
             found.append(later)
         self.levels.append(new)
         return found
 
-    @staticmethod
-    def _merge(x: Level, y: Level) -> tuple[Level, Places]:
-        return level(*(np.concatenate([getattr(x, k), getattr(y, k)]) for k in Level.__slots__))
-
     def close(self) -> tuple[Level | None, list[Places]]:
         """Merge all levels into one."""
         found = []
         while len(self.levels) > 1:
             y, x = self.levels.pop(), self.levels.pop()
-            new, later = self._merge(x, y)
+            new, later = merge(x, y)
             self.levels.append(new)
             found.append(later)
         return (self.levels[0] if self.levels else None), found

@@ -106,9 +106,46 @@ def test_substrings_small(spark, small):
 def test_substrings_awkward(spark, odd, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)  # 0: every shared block is spread by window
     monkeypatch.setattr(substrings, "BATCH_RUNS", 50)
+    monkeypatch.setattr(substrings, "CONTEXTS", 5)
+    monkeypatch.setattr(substrings, "layout", lambda docs, text: (3, 4))
     assert rows(substrings.removed(spark, odd), *C2) == sorted(brute.repeats(pairs_of(odd)), key=repr)
 
 
+def test_families_find_what_stands_earlier():
+    from tamis.llm import suffixes
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(rng.integers(1, 400))
+        data = rng.integers(0, 3, n + 4).astype(np.uint8)  # zero bytes, also at the ends of strings
+        key = suffixes.windows(data, np.arange(n), 4)
+        doc, at = rng.integers(0, 9, n).astype(np.int64), rng.integers(0, 9, n).astype(np.uint32)
+        tag = rng.integers(0, 99, n).astype(np.uint16)
+        family, told, x = suffixes.Family(), [], 0
+        while x < n:
+            y = x + int(rng.integers(1, 60))
+            told += family.add(key[x:y], doc[x:y], at[x:y], tag[x:y])
+            x = y
+            sizes = [len(v) for v in family.levels]
+            assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+        level, more = family.close()
+        first = {}
+        for i in range(n):
+            k = bytes(data[i : i + 4])
+            first[k] = min(first.get(k, (99, 99)), (int(doc[i]), int(at[i])))
+        assert [(k, *v) for k, v in sorted(first.items())] == [(bytes(k).ljust(4, b"\0"), int(d), int(p)) for k, d, p in zip(level.key, level.doc, level.at, strict=True)]
+        assert (level.key[1:] > level.key[:-1]).all()
+        # Every place that is not the first of its string is told, each as often as it is there or less.
+        got = {(int(d), int(p)) for ds, ps, _ in told + more for d, p in zip(ds, ps, strict=True)}
+        later = {(int(doc[i]), int(at[i])) for i in range(n) if (int(doc[i]), int(at[i])) != first[bytes(data[i : i + 4])]}
+        assert got == later
+
+
+def test_joined_ranges():
+    doc, first, last = np.array([2, 1, 1, 1, 1, 2]), np.array([5, 0, 1, 9, 30, 6]), np.array([5, 20, 3, 21, 31, 9])
+    assert [x.tolist() for x in substrings._joined(doc, first, last)] == [[1, 1, 2], [0, 30, 5], [21, 31, 9]]
+
+
 def test_substrings_short_length_and_random_edits(spark):
     r = random.Random(5)
     base = passage(9, 200)
@@ -127,7 +164,9 @@ def test_substrings_ties_and_stage(spark, odd):
     got = rows(substrings.removed(spark, same), "doc_id", "n_removed")
     assert got == [(1, 0), (1, 0), (None, len(passage(1, 60).encode()))]
     assert substrings.removed(spark, same.limit(0)).count() == 0
+    odd = odd.withColumn("text_place", F.lit(1)).withColumn("Repeated_Spans", F.lit("c")).withColumn("doc", F.lit(2)).withColumn("first", F.lit(3))
     out = substrings.remove_repeats(spark, odd, length_col="n_chars")
+    assert substrings.remove_repeats(spark, odd.limit(0)).count() == 0
     assert out.schema == odd.schema and all(r.n_chars == len(r.text or "") for r in out.collect())
 
 
