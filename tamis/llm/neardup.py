@@ -1,13 +1,13 @@
-"""Near-duplicate documents: candidates by minimum hashes, then exact similarity of word shingles.
-
-1. Sketch: one pass gives each text SIGNS minima of its shingle hashes under different orders, and a
-   hash of its words; equal texts become one node.  Minima are those of the set of shingles, as the
-   similarity is: how often a shingle stands in a text changes nothing.
-2. Texts that share one of the first MINS minima meet in a bucket (at a similarity of 0.8 these all
-   differ for one pair in 400,000).  There pairs need ALIKE minima alike.  Stars of such pairs give
-   coarse groups.
-3. Inside coarse groups, pairs with ALIKE minima alike are compared by their shingle sets; pairs
-   that are already connected are not compared again.  Groups beyond TILE texts are cut into tiles.
+"""Near-duplicate documents: SimHash fingerprints compared on bit planes, then exact similarity of word shingles.
+
+1. Sketch: one pass gives each text a SimHash fingerprint of BITS bits, MINS minima of its shingle
+   hashes under different orders, and a hash of its words; equal texts become one node.  All are taken
+   of the set of shingles, as the similarity is: how often one stands in a text changes nothing.
+2. At a similarity of 0.8 fingerprints differ in too many bits for tables of whole blocks of bits.
+   So texts meet in the buckets of their minima (for one pair in 400,000 these all differ), where
+   fingerprints are compared bit-sliced, within RADIUS.  Stars of such pairs give coarse groups.
+3. Inside coarse groups pairs within RADIUS are compared by their shingle sets; pairs that are already
+   connected are not compared again.  Groups beyond TILE texts are cut into tiles.
 4. Components of the verified links are the groups.
 
 Every row has a number of its own by which it is linked and removed; ids only choose who represents.
@@ -29,87 +29,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import shared
-from tamis.llm.bitslice import forest
+from tamis.llm.bitslice import forest, pairs
 from tamis.llm.components import components
-from tamis.llm.simhash import shingle_hashes, spread
+from tamis.llm.simhash import majorities, shingle_hashes, spread
 from tamis.llm.textbytes import mix, pieces
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Minima of a text's sketch; texts meet where one of the first MINS is alike.
-MINS, SIGNS = 8, 32
-#: Texts of the wanted similarity have at least so many of SIGNS minima alike: by the binomial tail
-#: at exactly 0.8, all but one pair in five million.
-ALIKE = 13
+#: Texts meet where one of so many minima is alike.
+MINS = 8
+WORDS = 2
+BITS = 64 * WORDS
+#: A bit differs with a probability of 0.15 at the wanted similarity, of 0.19 between sets of four and five.  By the
+#: binomial tails one pair in six million, of those smallest sets one in 20,000, lies beyond this radius; of unlike
+#: pairs one in 16,000 lies within it, and is then told apart by its shingles.
+RADIUS = 42
 TILE = 1 << 11
 PIECE_BYTES = 1 << 19
-_ORDERS = mix(np.arange(1, SIGNS + 1, dtype=np.uint64)) | np.uint64(1)
+_ORDERS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1)
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
-def minima(each: list[np.ndarray]) -> np.ndarray:
-    """(texts, SIGNS) least hashes of each text's shingles, one an order; zero where there are none."""
-    size = np.array([len(x) for x in each], np.int64)
-    h = np.concatenate(each)
-    out = np.zeros((len(each), SIGNS), np.uint64)
+def prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, WORDS) fingerprints and (texts, MINS) least hashes of shingle sets; zero where there are none."""
+    size = np.array([len(x) for x in sets], np.int64)
+    h = np.concatenate(sets)
+    bits = np.column_stack([majorities(h, size), majorities(mix(h ^ _SECOND), size)])
+    mins = np.zeros((len(sets), MINS), np.uint64)
     full = np.flatnonzero(size)
     if len(full):
         first = (np.cumsum(size) - size)[full]
         for k, order in enumerate(_ORDERS):
-            out[full, k] = np.minimum.reduceat(mix(h ^ order), first)
-    return out
+            mins[full, k] = np.minimum.reduceat(mix(h ^ order), first)
+    return bits, mins
 
 
-def _signs(mins: np.ndarray) -> pa.Array:
-    """Sixteen bits of each minimum tell nearly as much as the whole; what they confuse is only verified in vain."""
-    return pa.array([x.tobytes() for x in mins.astype(np.uint16)], pa.binary())
+def _binary(bits: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in bits], pa.binary())
 
 
 def _unpacked(batches: list[pa.RecordBatch]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b"".join(b.column("mins").to_pylist()), np.uint16) for b in batches]).reshape(-1, SIGNS)
-
-
-def alike(mins: np.ndarray, job: np.ndarray, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) in one job (equal neighbours in ``job``) with at least ALIKE minima alike.
-
-    ``root``: a forest that the caller extends between pairs; what it connects by then is left out."""
-    n = len(mins)
-    ends = np.flatnonzero(np.append(job[1:] != job[:-1], True))
-    rest = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
-    active = np.arange(n)
-    for lag in range(1, int(rest.max(initial=0)) + 1):
-        active = active[rest[active] >= lag]
-        a = active
-        if root is not None:
-            while (root[root] != root).any():
-                root[:] = root[root]
-            a = a[root[a] != root[a + lag]]
-        # Eight flags a word: byte-wise sums, then the bytes of each word added up.
-        same = (mins[a] == mins[a + lag]).view(np.uint64)
-        count = (same.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)
-        a = a[count >= ALIKE]
-        if len(a):
-            yield a, a + lag
+    return np.concatenate([np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64) for b in batches]).reshape(-1, WORDS)
+
+
+def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t, width)) for t in texts]
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(row, id, whole, mins, keys) of every row of docs (row, id, text)."""
+    """(row, id, whole, bits, keys) of every row of docs (row, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", PIECE_BYTES):
             texts = part.column("text").to_pylist()
-            mins = minima([shingle_hashes(t, width) for t in texts])
+            bits, mins = prints(_sets(texts, width))
             whole = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            low = (mins[:, :MINS] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            low = (mins & np.uint64(0xFFFFFFFF)).astype(np.int64)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(low.ravel()), MINS).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([part.column("row"), part.column("id"), pa.array(whole, pa.binary()), _signs(mins), keys], names=["row", "id", "whole", "mins", "keys"])
+            yield pa.record_batch([part.column("row"), part.column("id"), pa.array(whole, pa.binary()), _binary(bits), keys], names=["row", "id", "whole", "bits", "keys"])
 
-    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, whole binary, mins binary, keys array<long>")
+    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, whole binary, bits binary, keys array<long>")
 
 
 def _coarse(nodes: DataFrame) -> DataFrame:
-    """Star edges between nodes that share a minimum and have enough of them alike."""
-    keyed = nodes.select("node", "mins", F.posexplode("keys").alias("t", "key"))
-    tasks = spread(keyed, ["node", "mins"], "node", TILE)
+    """Star edges between nodes that share a minimum and have fingerprints within the radius."""
+    keyed = nodes.select("node", "bits", F.posexplode("keys").alias("t", "key"))
+    tasks = spread(keyed, ["node", "bits"], "node", TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -117,31 +102,30 @@ def _coarse(nodes: DataFrame) -> DataFrame:
             return
         node, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "job"))
         order = np.lexsort((node, job))
-        node, job, mins = node[order], job[order], _unpacked(got)[order]
-        root = forest(len(node), alike(mins, job))
+        node, job, bits = node[order], job[order], _unpacked(got)[order]
+        root = forest(bits, job, RADIUS)
         own = np.flatnonzero(root != np.arange(len(node)))
         yield pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
 
     return tasks.repartition("job").mapInArrow(run, "a long, b long")
 
 
-GRAMS = "node long, t int, key long, mins binary, n int, grams binary"
+GRAMS = "node long, t int, key long, bits binary, n int, grams binary"
 
 
 def _shingled(members: DataFrame, width: int) -> DataFrame:
-    """Texts (node, part, text) as shingle sets, in a bucket for each part."""
+    """Texts (node, part, bits, text) as shingle sets, in a bucket for each part."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", PIECE_BYTES):
-            each = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
-            sets = [np.unique(x) for x in each]
-            zero = np.zeros(len(each), np.int32)
+            sets = _sets(part.column("text").to_pylist(), width)
+            zero = np.zeros(len(sets), np.int32)
             yield pa.record_batch(
-                [part.column("node"), pa.array(zero), part.column("part"), _signs(minima(sets)), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                names=["node", "t", "key", "mins", "n", "grams"],
+                [part.column("node"), pa.array(zero), part.column("part"), part.column("bits"), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["node", "t", "key", "bits", "n", "grams"],
             )
 
-    return members.select("node", "part", "text").mapInArrow(shingle, GRAMS)
+    return members.select("node", "part", "bits", "text").mapInArrow(shingle, GRAMS)
 
 
 def _views(column: pa.Array) -> Iterator[np.ndarray]:
@@ -154,7 +138,7 @@ def _views(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
     """Star edges of texts whose shingle sets are similar, inside each part."""
-    tasks = spread(shingled, ["node", "mins", "n", "grams"], "node", TILE)
+    tasks = spread(shingled, ["node", "bits", "n", "grams"], "node", TILE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -163,7 +147,7 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
         node, size, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "n", "job"))
         sets = [x for b in got for x in _views(b.column("grams"))]
         order = np.lexsort((node, job))
-        node, size, job, mins = node[order], size[order], job[order], _unpacked(got)[order]
+        node, size, job, bits = node[order], size[order], job[order], _unpacked(got)[order]
         root = np.arange(len(node))
 
         def find(i: int) -> int:
@@ -172,7 +156,7 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
                 i = root[i]
             return i
 
-        for a, b in alike(mins, job, root):
+        for a, b in pairs(bits, job, RADIUS, root):
             small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             near = small >= similarity * large
             for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
@@ -204,12 +188,13 @@ def _groups(spark: SparkSession, rows: DataFrame, number: str, doc_id: str, text
     marks = shared.table(spark, sketches(own, width), f"{folder}/marks")
     # A null id stands last, so that it represents no other.
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "whole", "row"))
-    nodes = marks.groupBy("whole").agg(F.min("row").alias("node"), least.alias("least"), F.any_value("mins").alias("mins"), F.any_value("keys").alias("keys"))
+    nodes = marks.groupBy("whole").agg(F.min("row").alias("node"), least.alias("least"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
     nodes = shared.table(spark, nodes, f"{folder}/nodes")
     star, made = components(spark, _coarse(nodes))
     tops = star.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()
-    members = shared.table(spark, star.select("node", F.col("component").alias("part")).union(tops), f"{folder}/members")
-    texts = own.join(shared.broadcast_if_small(members), F.col("row") == F.col("node")).select("node", "part", "text")
+    members = star.select("node", F.col("component").alias("part")).union(tops).join(nodes.select("node", "bits"), "node")
+    members = shared.table(spark, members, f"{folder}/members")
+    texts = own.join(shared.broadcast_if_small(members), F.col("row") == F.col("node")).select("node", "part", "bits", "text")
     sets = shared.table(spark, _shingled(texts, width), f"{folder}/sets")
     links = shared.table(spark, _verified(sets, similarity), f"{folder}/links")
     shared.release(spark)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import shared
-from tamis.llm.bitslice import forest, pairs
+from tamis.llm.bitslice import forest
 from tamis.llm.components import components
 from tamis.llm.textbytes import LOWER, pieces
 from tamis.tables import read
@@ -119,7 +119,7 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int, blocks: int) -> Da
         job = np.concatenate([b.column(1).to_numpy() for b in got])
         order = np.lexsort((bits, job))
         bits, job = bits[order], job[order]
-        root = forest(len(bits), pairs(bits, job, radius))
+        root = forest(bits, job, radius)
         own = np.flatnonzero(root != np.arange(len(bits)))
         yield pa.record_batch([pa.array(bits[own].view(np.int64)), pa.array(bits[root[own]].view(np.int64))], names=["a", "b"])
 

@@ -251,12 +251,21 @@ def test_keep_one_with_null_and_shared_ids(spark):
     assert sorted(got, key=repr) == sorted([(1, 1), (None, 1), (None, None), (None, None), (None, None), (7, 7), (7, 3), (3, 3), (2, 2), (None, 2)], key=repr)
 
 
-def test_alike_pairs():
-    rng = np.random.default_rng(5)
-    job = np.sort(rng.integers(0, 6, 150))
-    mins = rng.integers(0, 3, (150, neardup.SIGNS)).astype(np.uint16)
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if job[i] == job[j] and (mins[i] == mins[j]).sum() >= neardup.ALIKE}
-    assert want and {(int(i), int(j)) for a, b in neardup.alike(mins, job) for i, j in zip(a, b, strict=True)} == want
+def test_near_copies_are_within_the_radius():
+    """Fingerprints and minima of random sets of a similarity just above the bound."""
+    rng = np.random.default_rng(11)
+    lost = far = 0
+    for n in (5, 10, 40, 300):
+        for _ in range(400):
+            common = rng.integers(0, 2**63, max(1, int(np.ceil(0.8 * n)))).astype(np.uint64)
+            extra = rng.integers(0, 2**63, n).astype(np.uint64)
+            k = (n - len(common)) // 2
+            sets = [np.unique(np.append(common, extra[:k])), np.unique(np.append(common, extra[k : n - len(common)]))]
+            assert len(np.intersect1d(*sets)) >= 0.8 * len(np.union1d(*sets))
+            bits, mins = neardup.prints(sets)
+            far += sum(int(x ^ y).bit_count() for x, y in zip(*bits.tolist(), strict=True)) > neardup.RADIUS
+            lost += not (mins[0] == mins[1]).any()
+    assert far == 0 and lost == 0
 
 
 # ---- 4: LM ----
@@ -713,19 +722,28 @@ def test_pipeline(spark, small):
     assert all(w[2] == 0 for w in brute.repeats(kept) if w[1])
 
 
-def test_bitslice_pairs():
-    from tamis.llm.bitslice import pairs
+@pytest.mark.parametrize(("k", "chunk"), [(1, 1), (1, 1 << 14), (2, 7), (2, 1 << 14)])
+def test_bitslice_pairs(monkeypatch, k, chunk):
+    from tamis.llm import bitslice
 
-    rng = np.random.default_rng(0)
-    for _ in range(30):
+    monkeypatch.setattr(bitslice, "CHUNK", chunk)
+    rng = np.random.default_rng(k)
+    for _ in range(20):
         n = int(rng.integers(2, 300))
-        v = rng.integers(0, 2**64, size=5, dtype=np.uint64)[rng.integers(0, 5, n)]
+        v = rng.integers(0, 2**64, size=(5, k), dtype=np.uint64)[rng.integers(0, 5, n)]
         for _ in range(4):
-            v = v ^ np.where(rng.random(n) < 0.7, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+            v = v ^ np.where(rng.random((n, k)) < 0.7, np.uint64(1) << rng.integers(0, 64, (n, k)).astype(np.uint64), np.uint64(0))
         g = np.sort(rng.integers(0, rng.integers(1, 6), n))
         radius = int(rng.integers(0, 9))
-        got = {(int(a), int(b)) for x, y in pairs(v, g, radius) for a, b in zip(x, y, strict=True)}
-        assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if g[i] == g[j] and int(v[i] ^ v[j]).bit_count() <= radius}
+        apart = lambda i, j: sum(int(a ^ b).bit_count() for a, b in zip(v[i].tolist(), v[j].tolist(), strict=True))
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if g[i] == g[j] and apart(i, j) <= radius}
+        values = v if k > 1 else v.ravel()
+        got = [(int(a), int(b)) for x, y in bitslice.pairs(values, g, radius) for a, b in zip(x, y, strict=True)]
+        assert len(got) == len(want) and set(got) == want
+        sets = brute.Sets(range(n))
+        for i, j in want:
+            sets.join(i, j)
+        assert bitslice.forest(values, g, radius).tolist() == [sets.find(i) for i in range(n)]
 
 
 def test_fm_index_counts_and_places():
