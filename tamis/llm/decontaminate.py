@@ -4,23 +4,28 @@ Each task cuts its rows into shards of bounded size, maps words to the alphabet
 (any other word is a separator, which no phrase can contain), builds a suffix array, its
 Burrows-Wheeler transform as a wavelet matrix and sampled suffix positions, and searches all
 benchmark phrases backwards together.  Occurrences give word spans, which are merged.  No row is
-shuffled; phrases come in blocks of bounded size from the shared folder, so neither the benchmark
-nor the corpus has to fit anywhere.
-
-Defined cases: a null text has no words; an item without words has no phrase; an item shorter
-than the window is one phrase; an item id that occurs twice counts once per document; a null item
-id still marks words but is not listed; repeated documents are judged each for themselves; an
-empty benchmark hits nothing.
+shuffled; phrases are cut by a job of their own and come in blocks of bounded size from the shared
+folder, so neither the benchmark nor the corpus has to fit anywhere.  A shard has one index, over the
+words of all blocks.
+
+Defined cases: a null text has no words; a text of any length is a shard of its own or part of one; an
+item without words has no phrase; an item shorter than the window is one phrase; an item id that occurs
+twice counts once per document; a null item id still marks words but is not listed; repeated documents
+are judged each for themselves; an empty benchmark hits nothing, an empty table has no reports; other
+columns, whatever their names, are kept by ``remove_contamination`` and do not matter otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamis.llm import shared
 from tamis.llm.fmindex import FMIndex
@@ -39,101 +44,146 @@ def item_words(text: str | None) -> np.ndarray:
     return word_hashes(raw, starts, ends)
 
 
-def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, uri: str) -> int:
-    """Phrases of the benchmark in blocks of the shared folder; the driver holds one block at a time."""
-    ids: list[str | None] = []
-    phrases: list[np.ndarray] = []
-    owners: list[int] = []
-    blocks = 0
+@dataclass(frozen=True)
+class Phrases:
+    """A benchmark cut into windows: the names of its blocks (one for so many phrases), and the length of the shortest phrase."""
 
-    def close() -> None:
-        nonlocal blocks
-        if phrases:
+    uri: str
+    blocks: tuple[str, ...]
+    least: int
+
+
+def write_phrases(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Phrases:
+    """Phrases of the benchmark in blocks of the shared folder, and the sorted array of their words."""
+    uri = shared.scratch(spark, "phrases")
+    most = BLOCK_PHRASES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[str | None] = []
+        phrases: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def close() -> pa.RecordBatch:
+            name = uuid.uuid4().hex
             lengths = np.array([len(p) for p in phrases], np.int64)
             wide = np.zeros((len(phrases), window), np.uint64)
             for i, p in enumerate(phrases):
                 wide[i, window - len(p) :] = p
-            names = pa.array(ids, pa.string())
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.string())])) as w:
-                w.write_batch(pa.record_batch([names], names=["id"]))
-            shared.put_bytes(f"{uri}/{blocks}.ids", sink.getvalue().to_pybytes())
-            for name, array in (("words", wide), ("lengths", lengths), ("owners", np.array(owners, np.int64))):
-                shared.put_array(f"{uri}/{blocks}.{name}.npy", array)
-            blocks += 1
-        ids.clear(), phrases.clear(), owners.clear()
-
-    for row in benchmark.select(id_col, text_col).toLocalIterator():
-        h = item_words(row[1])
-        if not len(h):
-            continue
-        ids.append(None if row[0] is None else str(row[0]))
-        width = min(window, len(h))
-        for at in range(len(h) - width + 1):
-            phrases.append(h[at : at + width])
-            owners.append(len(ids) - 1)
-            if len(phrases) >= BLOCK_PHRASES:
-                last = ids[-1]
-                close()
-                ids.append(last)
-    close()
-    return blocks
+                w.write_batch(pa.record_batch([pa.array(ids, pa.string())], names=["id"]))
+            shared.put_bytes(f"{uri}/{name}.ids", sink.getvalue().to_pybytes())
+            shared.put_arrays(f"{uri}/{name}", {"words": [wide.ravel()], "lengths": [lengths], "owners": [np.array(owners, np.int64)]})
+            words = np.unique(np.concatenate(phrases)).view(np.int64)
+            last = ids[-1]
+            ids.clear(), phrases.clear(), owners.clear()
+            ids.append(last)  # its phrases may go on in the next block
+            return pa.record_batch([pa.array([name] + [None] * len(words), pa.string()), pa.array([int(lengths.min())] + [None] * len(words), pa.int64()), pa.array([None, *words.tolist()], pa.int64())], names=["block", "least", "word"])
+
+        for batch in batches:
+            for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                h = item_words(t)
+                if not len(h):
+                    continue
+                ids.append(i)
+                width = min(window, len(h))
+                for at in range(len(h) - width + 1):
+                    phrases.append(h[at : at + width])
+                    owners.append(len(ids) - 1)
+                    if len(phrases) >= most:
+                        yield close()
+        if phrases:
+            yield close()
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column("word").to_numpy().view(np.uint64) for b in batches]
+        words = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        shared.put_arrays(f"{uri}/alphabet", {"words": [words]})
+        yield pa.record_batch([pa.array([len(words)], pa.int64())], names=["n"])
+
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    made = shared.table(spark, items.mapInArrow(cut, "block string, least long, word long"), f"{uri}/made")
+    blocks = made.where("block is not null").select("block", "least").orderBy("block").collect()  # one for so many phrases
+    # One task sorts the different words: the benchmark's vocabulary.
+    made.where("word is not null").select("word").distinct().coalesce(1).mapInArrow(sort, "n long").collect()
+    return Phrases(uri, tuple(r.block for r in blocks), min((r.least for r in blocks), default=0))
 
 
 class Block:
-    """Phrases of one block over its own alphabet; 0 is what no phrase contains."""
+    """Phrases of one block in symbols of the alphabet."""
 
-    def __init__(self, uri: str, k: int):
-        with shared.open_read(f"{uri}/{k}.ids") as f:
+    def __init__(self, uri: str, name: str, alphabet: np.ndarray):
+        with shared.open_read(f"{uri}/{name}.ids") as f:
             self.ids = pa.ipc.open_stream(pa.py_buffer(f.read())).read_all().column(0).to_pylist()
-        words, lengths, owners = (np.array(shared.get_array(f"{uri}/{k}.{x}.npy")) for x in ("words", "lengths", "owners"))
-        self.alphabet = np.unique(words[np.arange(words.shape[1]) >= words.shape[1] - lengths[:, None]])
-        phrases = np.searchsorted(self.alphabet, words) + 1
+        got = shared.get_arrays(f"{uri}/{name}")
+        lengths, owners = np.array(got["lengths"]), np.array(got["owners"])
+        words = got["words"].reshape(len(lengths), -1)
+        phrases = np.searchsorted(alphabet, words) + 1
         phrases[np.arange(words.shape[1]) < words.shape[1] - lengths[:, None]] = 0
-        keyed = np.column_stack([lengths, phrases])
-        unique, inverse = np.unique(keyed, axis=0, return_inverse=True)
+        unique, inverse = np.unique(np.column_stack([lengths, phrases]), axis=0, return_inverse=True)
         self.lengths, self.phrases = unique[:, 0], unique[:, 1:]
         order = np.argsort(inverse.ravel(), kind="stable")
         self.owners = owners[order]
         self.first_owner = np.searchsorted(inverse.ravel()[order], np.arange(len(unique) + 1))
-        self.least = int(lengths.min())
+
+
+class Searcher:
+    """The benchmark's words and blocks, as a task reads them."""
+
+    def __init__(self, phrases: Phrases):
+        self.told = phrases
+        self.alphabet = shared.get_arrays(f"{phrases.uri}/alphabet")["words"] if phrases.blocks else np.zeros(0, np.uint64)
+        self.cache: dict[str, Block] = {}
         # Most words fall out by one bit of a small table before the binary search.
         self.seen = np.zeros(1 << 18, dtype=bool)
         self.seen[(self.alphabet >> np.uint64(46)).astype(np.int64)] = True
 
+    def blocks(self) -> Iterator[Block]:
+        for name in self.told.blocks:
+            block = self.cache.get(name) or Block(self.told.uri, name, self.alphabet)
+            if len(self.told.blocks) <= 4:  # more of them are read again for each shard
+                self.cache[name] = block
+            yield block
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words in the alphabet, from 1; 0 is what no phrase contains."""
         out = np.zeros(len(hashes), np.int64)
         maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(46)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.alphabet, hashes[maybe]), len(self.alphabet) - 1)
-        out[maybe] = np.where(self.alphabet[at] == hashes[maybe], at + 1, 0)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.alphabet, hashes[maybe]), len(self.alphabet) - 1)
+            out[maybe] = np.where(self.alphabet[at] == hashes[maybe], at + 1, 0)
         return out
 
-
-def occurrences(block: Block, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every (phrase, word index) where a phrase of the block stands in a row; first: rows' first words."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    symbol = block.symbols(hashes)
-    # Runs of alphabet words inside a row; those too short for any phrase need no index.
-    inside = symbol > 0
-    edge = np.zeros(len(hashes) + 1, dtype=bool)
-    edge[first] = True
-    before = np.concatenate([[False], inside[:-1]])
-    after = np.concatenate([inside[1:], [False]])
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    long = ends - starts >= block.least
-    starts, sizes = starts[long], (ends - starts)[long]
-    if not len(starts):
-        return none
-    heads = np.cumsum(sizes + 1) - sizes - 1  # each run, then a separator
-    origin = np.repeat(starts - heads, sizes + 1) + np.arange(int((sizes + 1).sum()))
-    text = symbol[np.minimum(origin, len(symbol) - 1)]
-    text[heads + sizes] = 0
-    index = FMIndex(text, len(block.alphabet) + 1)
+    def index(self, hashes: np.ndarray, first: np.ndarray) -> tuple[FMIndex, np.ndarray] | None:
+        """An index of a shard's words and where its symbols come from; first: rows' first words.  None if no phrase can be there."""
+        if not self.told.blocks:
+            return None
+        symbol = self.symbols(hashes)
+        # Runs of alphabet words inside a row; those too short for any phrase need no index.
+        inside = symbol > 0
+        edge = np.zeros(len(hashes) + 1, dtype=bool)
+        edge[first] = True
+        before = np.concatenate([[False], inside[:-1]])
+        after = np.concatenate([inside[1:], [False]])
+        starts = np.flatnonzero(inside & (~before | edge[:-1]))
+        ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        long = ends - starts >= self.told.least
+        starts, sizes = starts[long], (ends - starts)[long]
+        if not len(starts):
+            return None
+        heads = np.cumsum(sizes + 1) - sizes - 1  # each run, then a separator
+        origin = np.repeat(starts - heads, sizes + 1) + np.arange(int((sizes + 1).sum()))
+        text = symbol[np.minimum(origin, len(symbol) - 1)]
+        text[heads + sizes] = 0
+        return FMIndex(text, len(self.alphabet) + 1), origin
+
+
+def occurrences(index: FMIndex, origin: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Every (phrase, word index) where a phrase of the block stands in a row."""
     low, high = index.search(block.phrases, block.lengths)
     found = np.flatnonzero(high > low)
     if not len(found):
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     count = (high - low)[found]
     rows = np.repeat(low[found] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
     return np.repeat(found, count), origin[index.locate(rows)]
@@ -142,7 +192,7 @@ def occurrences(block: Block, hashes: np.ndarray, first: np.ndarray) -> tuple[np
 class Hits:
     """What a shard's rows share with the benchmark."""
 
-    def __init__(self, column: pa.Array, uri: str, blocks: int, cache: dict[int, Block]):
+    def __init__(self, column: pa.Array, searcher: Searcher):
         self.raw, self.offsets = flat(column)
         low = LOWER[self.raw]
         self.starts, self.ends, self.first = word_bounds(low, self.offsets, ALNUM)
@@ -150,13 +200,9 @@ class Hits:
         n = len(self.offsets) - 1
         self.items: list[set[str]] = [set() for _ in range(n)]
         cover = np.zeros(len(hashes) + 1, np.int64)
-        for k in range(blocks if len(hashes) else 0):
-            block = cache.get(k)
-            if block is None:
-                block = Block(uri, k)
-                if blocks <= 4:  # more of them are read again for each shard
-                    cache[k] = block
-            phrase, word = occurrences(block, hashes, self.first)
+        made = searcher.index(hashes, self.first) if len(hashes) else None
+        for block in searcher.blocks() if made else ():
+            phrase, word = occurrences(*made, block)
             if not len(phrase):
                 continue
             np.add.at(cover, word, 1)
@@ -181,10 +227,10 @@ class Hits:
         return [(int(self.starts[a + s] - base), int(self.ends[a + e - 1] - base)) for s, e in change.reshape(-1, 2)]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], text_col: str, uri: str, blocks: int) -> Iterator[tuple[pa.RecordBatch, Hits]]:
-    cache: dict[int, Block] = {}
+def _shards(batches: Iterator[pa.RecordBatch], text_col: str, phrases: Phrases) -> Iterator[tuple[pa.RecordBatch, Hits]]:
+    searcher = Searcher(phrases)
     for part in pieces(batches, text_col, SHARD_BYTES):
-        yield part, Hits(part.column(text_col), uri, blocks, cache)
+        yield part, Hits(part.column(text_col), searcher)
         forget_powers(2 * SHARD_BYTES)
 
 
@@ -193,11 +239,10 @@ REPORT = "n_words long, n_hit long, n_items long, items array<string>, items_sha
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: its id, words, words inside benchmark phrases, the items, and the byte spans to remove."""
-    uri = shared.scratch(spark, "phrases")
-    blocks = write_blocks(benchmark, item_id, item_text, window, uri)
+    phrases = write_phrases(spark, benchmark, item_id, item_text, window)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, hits in _shards(batches, text, uri, blocks):
+        for part, hits in _shards(batches, text, phrases):
             items = [sorted(x) for x in hits.items]
             spans = [[{"first": a, "last": b} for a, b in hits.spans(i)] if c else [] for i, c in enumerate(hits.n_hit)]
             yield pa.record_batch(
@@ -222,11 +267,10 @@ def remove_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFr
     """``docs`` with its own columns, the benchmark passages cut from its texts; a text that was nothing else goes.
 
     ``length``: a column that holds the texts' lengths in characters, set anew where a text changes."""
-    uri = shared.scratch(spark, "phrases")
-    blocks = write_blocks(benchmark, item_id, item_text, window, uri)
+    phrases = write_phrases(spark, benchmark, item_id, item_text, window)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, hits in _shards(batches, text, uri, blocks):
+        for part, hits in _shards(batches, text, phrases):
             if not (hits.n_hit > 0).any():
                 yield part
                 continue

@@ -7,7 +7,6 @@ retried task never meets half-written files of its predecessor.
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import threading
@@ -114,21 +113,6 @@ def open_read(uri: str):
     return open(path, "rb")
 
 
-def put_array(uri: str, array: np.ndarray) -> None:
-    buffer = io.BytesIO()
-    np.save(buffer, np.ascontiguousarray(array))
-    put_bytes(uri, buffer.getvalue())
-
-
-def get_array(uri: str) -> np.ndarray:
-    """Memory-mapped where the shared folder is mounted, else read."""
-    path = local_path(uri)
-    if path is not None:
-        return np.load(path, mmap_mode="r")
-    with open_read(uri) as f:
-        return np.load(io.BytesIO(f.read()))
-
-
 def put_arrays(uri: str, arrays: dict[str, list[np.ndarray]]) -> None:
     """One file of named arrays, each given in pieces, with a table of their places at its end."""
 

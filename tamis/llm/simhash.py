@@ -9,8 +9,9 @@
 4. A task returns each bucket's spanning stars, never all pairs; components are found from them.
 
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; a
-text of fewer words than a shingle is one shingle; repeated rows stay and get the same group; a
-null id is never a group's representative unless all ids of the group are null.
+text of fewer words than a shingle is one shingle, one of any length is read whole; repeated rows stay
+and get the same group; a null id is never a group's representative unless all ids of the group are
+null; an empty table has no groups; other columns of the input, whatever their names, do not matter.
 """
 
 from __future__ import annotations

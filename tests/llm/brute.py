@@ -298,3 +298,64 @@ def mixed(rows, budget=0.75, seed=20_240_101, targets=None, rounds=100):
         u = (xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), inner) >> 11) / 2**53
         out.append((i, n, *k, p, rate * w[k] / p if rate * w[k] > 0 else 1.0, u < p))
     return out
+
+
+def cut_repeats(rows, length=100):
+    """rows (id, text) in order of place: texts without what also starts earlier, None where nothing is left of a text."""
+    seen, out = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            s = b[p : p + length]
+            if s in seen:
+                cover[p : p + length] = b"\x01" * length
+            seen.add(s)
+        if not any(cover):
+            out.append((i, t, True))
+        else:
+            rest = bytes(x for x, c in zip(b, cover, strict=True) if not c).decode(errors="ignore")
+            out.append((i, rest, bool(rest.strip())))
+    return out
+
+
+def cut_passages(text, phrases, sizes):
+    """A text without the passages of a benchmark, from the first byte of a passage's first word to the last of its last; None where no word is left."""
+    low = lower_ascii(text)
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    w, hit = [low[a:b] for a, b in places], set()
+    for k in sizes:
+        for a in range(len(w) - k + 1):
+            if tuple(w[a : a + k]) in phrases:
+                hit.update(range(a, a + k))
+    if not hit:
+        return text
+    if len(hit) == len(w):
+        return None
+    out, at = [], 0
+    for j in sorted(hit):
+        if j - 1 not in hit:
+            out.append(text[at : places[j][0]])
+        at = places[j][1]
+    return "".join(out) + text[at:]
+
+
+def pipeline(docs, trusted, items, window=10):
+    """docs (id, text, source, lang): the rows that the five stages leave, as ``mixed`` gives them, with their texts."""
+    ratio = target_ratios([(k, t) for k, (_, t, _, _) in enumerate(docs)], {k for k, d in enumerate(docs) if d[0] in trusted and d[0] is not None})
+    docs = [d for d, (_, x) in zip(docs, ratio, strict=True) if not base_rules(d[1])[5] and x >= -0.25]
+    group = jaccard_groups([(k, d[1]) for k, d in enumerate(docs)])
+    order = lambda k: (docs[k][0] is None, docs[k][0] or 0, k)
+    heads = {}
+    for k, c in group.items():
+        heads[c] = min(heads.get(c, k), k, key=order)
+    docs = sorted((docs[k] for k in heads.values()), key=lambda d: (d[0] is None, d[0] or 0, hashlib.sha256((d[1] or "").encode()).digest()))
+    docs = [(d[0], t, *d[2:]) for d, (_, t, keep) in zip(docs, cut_repeats([(d[0], d[1]) for d in docs]), strict=True) if keep]
+    phrases = set()
+    for _, t in items:
+        w = alnum_words(t)
+        k = min(window, len(w))
+        phrases |= {tuple(w[a : a + k]) for a in range(len(w) - k + 1 if k else 0)}
+    docs = [(d[0], cut_passages(d[1], phrases, {len(p) for p in phrases}), *d[2:]) for d in docs]
+    docs = [d for d in docs if d[1] is not None]
+    return [(*m, d[1]) for m, d in zip(mixed(docs), docs, strict=True) if m[7]]

@@ -709,6 +709,46 @@ def test_chat_query(spark):
 # ---- the whole ----
 
 
+def check_pipeline(spark, folder, extra):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    trusted = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = brute.pipeline([(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()], trusted, items)
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == [c for c in docs.columns if not c.lower().startswith("mix_")] + ["mix_tokens", "mix_topic", "mix_probability", "mix_weight"]
+    got = [(r.doc_id, r.mix_tokens, r.source or "(none)", r.lang or "(none)", r.mix_topic, r.mix_probability, r.mix_weight, True, r.text, r.n_chars) for r in out.collect()]
+    key = lambda r: repr((r[0], r[8]))
+    assert len(got) == len(want) and len(got) >= extra
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (g[:5], g[8]) == (w[:5], w[8]) and g[5:7] == pytest.approx(w[5:7], rel=1e-7) and g[9] == len(g[8])
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    check_pipeline(spark, SF, 50)
+
+
+def test_pipeline_awkward_rows(spark, odd, tmp_path):
+    texts = [passage(s, 90) for s in range(30, 60)]
+    item = " ".join(passage(77, 30).split())
+    rows_ = [(100 + i, t, "en", f"s{i % 3}", len(t), "c", "c", "c") for i, t in enumerate(texts)]
+    rows_ += [(200, texts[0] + " more words", "en", None, 1, "c", "c", "c"), (201, passage(90, 50) + " " + texts[1] + " " + passage(91, 50), None, "s1", 1, "c", "c", "c")]
+    rows_ += [(202, passage(92, 60) + ". " + item + "! " + passage(93, 60), "en", "s2", 1, "c", "c", "c"), (203, item, "en", "s2", 1, "c", "c", "c")]
+    rows_ += [(None, texts[2], "en", "s1", 1, "c", "c", "c"), (None, passage(94, 80), "fr", "s1", 1, "c", "c", "c"), (103, passage(95, 80), "fr", "s1", 1, "c", "c", "c"), (104, texts[4], "en", "s1", len(texts[4]), "c", "c", "c")]
+    every = odd.union(spark.createDataFrame(rows_, SCHEMA)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    for clash in ("Mix_Tokens", "text_place", "row_number", "repeated_spans", "loser", "words", "kept", "doc", "id", "first", "topic", "rate", "trusted_id"):
+        every = every.withColumn(clash, F.lit("c"))
+    labels = spark.createDataFrame([(d, 1, 0) for d in [*range(100, 130), None, 9, 9]] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")
+    for name, docs in (("some", every), ("none", every.limit(0))):
+        docs.repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        check_pipeline(spark, f"{tmp_path}/{name}", 15 if name == "some" else 0)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
