@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.functions import dialog
 from tamis.functions import text as T
 from tamis.operators import chunking, dense, embed, evaluate, fusion, layout, lexical, policy
-from tamis.sources import files, web
+from tamis.sources import files, store, web
 from tamis.tables import read as read_table
-from tamis.tables import spread, written
+from tamis.tables import scratch, spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,12 +238,82 @@ def html_title(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.normalize(web.parse(F.col("html"))["title"]).alias("title"))
 
 
-@query()
+# A paragraph's text nodes, stripped and joined; it ends where it is closed or where the next one begins.
+_PARAGRAPH = "array_to_string(list_filter(list_transform(string_split({}, chr(1)), lambda y: {}), lambda y: y <> ''), ' ')".format(
+    "replace(replace(replace(replace(regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', chr(1), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')", s_strip("y")
+)
+
+
+@query(f"""WITH a AS (SELECT url, {s_normalize(_DECODED)} AS title, list_filter(list_transform(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], lambda x: {_PARAGRAPH}), lambda x: length(x) > 20) AS ps FROM pages),
+n AS (SELECT url, title, {s_normalize("array_to_string(ps, chr(10) || chr(10))")} AS content FROM a)
+SELECT url AS source_id, title, {s_words("content")} AS words, sha256(content) AS content_sha256 FROM n""")
 def html_article(spark, sf_dir):
     a = web.articles(read(spark, sf_dir, "pages"))
     return a.select("source_id", "title", T.word_count(F.col("content")).alias("words"), F.sha2("content", 256).alias("content_sha256"))
 
 
+# ---- files, stores and words of a dialog ----
+
+_SUFFIX = "['.TXT', '.md', '.markdown', '.pdf', '.exe'][doc_id % 5 + 1]"
+
+
+@query(f"""WITH f AS (SELECT doc_id, 'file:///d/my__file-' || CAST(doc_id AS VARCHAR) || {_SUFFIX} AS path, doc_id % 5 AS kind, doc_id % 7 = 0 AS broken, replace(text, chr(10), chr(10) || ' ' || chr(10)) AS t FROM documents),
+r AS (SELECT *, CASE kind WHEN 4 THEN 'unknown suffix; known: .markdown, .md, .pdf, .txt' WHEN 3 THEN 'no reader of paged files is given' ELSE CASE WHEN broken THEN 'not UTF-8' END END AS reason FROM f)
+SELECT path, reason, CASE WHEN reason IS NULL THEN 'my file ' || CAST(doc_id AS VARCHAR) END AS title,
+CASE WHEN reason IS NULL THEN sha256(array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda p: {s_normalize("p")}), lambda p: p <> ''), chr(10) || chr(10))) END AS content FROM r""")
+def read_files(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".TXT", ".md", ".markdown", ".pdf", ".exe")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    raw = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n \r")), "UTF-8")
+    made = d.select(F.concat(F.lit("file:///d/my__file-"), F.col("doc_id").cast("string"), suffix).alias("path"), F.when(F.col("doc_id") % 7 == 0, F.concat(raw, F.lit(b"\xff"))).otherwise(raw).alias("content"))
+    docs, refused = files.dispatch(made.withColumn("length", F.length("content").cast("long")))
+    good = docs.select(F.col("source_id").alias("path"), F.lit(None).cast("string").alias("reason"), "title", F.sha2("content", 256).alias("content"))
+    return good.unionByName(refused.select("path", "reason", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content")))
+
+
+@query("""WITH s AS (SELECT doc_id, source AS scope, 'old' AS version FROM documents WHERE lang <> 'en' AND source NOT IN (SELECT source FROM documents WHERE lang = 'es')
+UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE lang = 'es')
+SELECT *, 'all' AS asked FROM s UNION ALL SELECT *, 'src3' FROM s WHERE scope = 'src3'""")
+def store_roundtrip(spark, sf_dir):
+    """Two upserts into a store of files, the second into scopes of the first, and both ways of reading it."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("scope"), "lang")
+    path = scratch(spark, "store")
+    store.upsert(spark, path, d.where("lang <> 'en'").select("doc_id", "scope", F.lit("old").alias("version")))
+    store.upsert(spark, path, d.where("lang = 'es'").select("doc_id", "scope", F.lit("new").alias("version")))
+    every, one = store.read_scope(spark, path), store.read_scope(spark, path, "src3")
+    return every.withColumn("asked", F.lit("all")).unionByName(one.withColumn("asked", F.lit("src3")))
+
+
+_ANSWERED = [
+    ("Yes", True, None, None), (" بله ", True, None, None), ("آري", True, None, None), ("n", False, None, None), ("۱", None, "strict", "file"), ("2", None, "open", "url"),
+    ("سخت‌گیرانه", None, "strict", None), ("سختگیرانه", None, "strict", None), ("آزاد", None, "open", None), ("باز", None, "open", None), ("OPEN", None, "open", None), ("", None, "open", None),
+    ("فایل محلي", None, None, "file"), ("لینک", None, None, "url"), ("سايت", None, None, "url"), ("what", None, None, None),
+]
+
+
+def _sql_value(x) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else q(x)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in _ANSWERED) + ") AS t(answer, agreed, policy, source)")
+def dialog_answers(spark, sf_dir):
+    rows = [(a, dialog.yes_or_no(a), dialog.choose_policy(a, "open"), dialog.choose_source(a)) for a, *_ in _ANSWERED]
+    return spark.createDataFrame(rows, "answer string, agreed boolean, policy string, source string")
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN p > 0 AND e >= 0.5 * p THEN 'most pages have no text; the document may be scanned' WHEN e > 0 THEN 'pages without text: ' || array_to_string(list_transform(range(1, least(e, 8) + 1), lambda x: CAST(x AS VARCHAR)), ', ') END,
+CASE WHEN t > 0 THEN 'tables: ' || CAST(t AS VARCHAR) END, CASE WHEN p >= 200 THEN 'a long document: ' || CAST(p AS VARCHAR) || ' pages' END], lambda x: x IS NOT NULL), ' / ') AS notes
+FROM (SELECT doc_id, doc_id % 300 AS p, doc_id % 12 AS e, doc_id % 3 AS t FROM documents)""")
+def notes(spark, sf_dir):
+    empty = F.when(F.col("doc_id") % 12 > 0, F.sequence(F.lit(1), (F.col("doc_id") % 12).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.document_notes(F.col("doc_id") % 300, empty, F.col("doc_id") % 3), " / ").alias("notes"))
+
+
+@query(f"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda l: {s_strip('l')} <> ''), chr(10) || chr(10))) AS rendered FROM documents")
+def render_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.render(F.split("text", "\n")), 256).alias("rendered"))
+
+
 # ---- chunks ----
 
 
@@ -252,6 +323,21 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk(d)
 
 
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex({s_normalize("text")}, '[ \\n]+')) AS w FROM documents)
+SELECT doc_id, 'title ' || CAST(doc_id AS VARCHAR) AS first_chunk, true AS small, true AS verbatim, count(*) AS words FROM w WHERE w <> '' GROUP BY doc_id""")
+def chunk_cover(spark, sf_dir):
+    """What chunks promise, document by document: the title comes first, none is too long, each is a stretch of the text, every word is in one."""
+    d = read(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("content"))
+    own = d.select(F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("title "), F.col("doc_id").cast("string")).alias("title"), "content")
+    found = chunking.chunk(own).join(d.withColumnRenamed("content", "whole"), F.col("scope") == F.col("doc_id").cast("string"))
+    body = F.when(F.col("ord") > 0, F.split("text", r"[ \n]+"))
+    per = found.groupBy("doc_id").agg(
+        F.min_by("text", "ord").alias("first_chunk"), F.max(F.size(body)).alias("most"), F.bool_and((F.col("ord") == 0) | F.contains("whole", "text")).alias("verbatim"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(body)))).cast("long").alias("words"),
+    )
+    return per.where("most is not null").select("doc_id", "first_chunk", (F.col("most") <= chunking.SIZE).alias("small"), "verbatim", "words")
+
+
 @query(f"SELECT doc_id, line, sha256(coalesce(CASE WHEN doc_id % 2 = 0 THEN 'u' || CAST(doc_id AS VARCHAR) END, 'None') || '|' || CAST(line AS VARCHAR) || '|' || text) AS chunk_id FROM ({_LINES})")
 def chunk_ids(spark, sf_dir):
     url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string")))
@@ -357,6 +443,14 @@ def _s_vectors(table: str, keys: str, text: str) -> str:
     return f"SELECT {keys}, substr(h, 1, 2) AS dim, CAST(sum(CASE WHEN substr(h, 3, 1) >= '8' THEN -1 ELSE 1 END) AS DOUBLE) AS v FROM ({words}) GROUP BY ALL HAVING v <> 0"
 
 
+@query(f"""WITH chunks AS (SELECT doc_id AS ord, source AS scope, text FROM documents), cv AS ({_s_vectors("chunks", "scope, ord", "text")}),
+cn AS (SELECT ord, sqrt(sum(v * v)) AS n FROM cv GROUP BY ord) SELECT ord AS doc_id, count(*) AS places, round(sum(v / n), 6) + 0 AS total, round(max(v / n), 6) + 0 AS most FROM cv JOIN cn USING (ord) GROUP BY ord""")
+def embed_documents(spark, sf_dir):
+    e = embed.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    per = e.select("doc_id", F.filter("vector", lambda v: v != 0).alias("v")).where(F.size("v") > 0)
+    return per.select("doc_id", F.size("v").cast("long").alias("places"), (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total"), (F.round(F.array_max("v"), 6) + 0.0).alias("most"))
+
+
 _HY = f"""{_BM}, cv AS ({_s_vectors("chunks", "scope, ord", "text")}), qv AS ({_s_vectors("questions", "question_id, scope", "question")}),
 cn AS (SELECT scope, ord, sqrt(sum(v * v)) AS n FROM cv GROUP BY ALL), qn AS (SELECT question_id, scope, sqrt(sum(v * v)) AS n FROM qv GROUP BY ALL),
 dots AS (SELECT question_id, scope, ord, sum(qv.v * cv.v) AS dot FROM qv JOIN cv USING (scope, dim) GROUP BY ALL),
@@ -527,6 +621,27 @@ def _geometry(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return lines, lines.select("doc", "page", F.lit(400.0).alias("height")).distinct()
 
 
+_SPAN = "w || CASE WHEN i % 3 = 2 THEN chr(173) ELSE '' END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, line, CAST(i - 1 AS BIGINT) AS i, ws[i] AS w FROM (SELECT doc_id, line, string_split(text, ' ') AS ws FROM ({_LINES})), unnest(generate_series(1, len(ws))) AS g(i)),
+c AS (SELECT *, {s_clean("(" + _SPAN + ")")} AS t, 100.0 * i AS x0, 100.0 * i + 10 * length(w) AS x1 FROM s),
+k AS (SELECT *, lag(t) OVER o AS pt, lag(x0) OVER o AS px0, lag(x1) OVER o AS px1 FROM c WHERE t <> '' WINDOW o AS (PARTITION BY doc_id, line ORDER BY i)),
+j AS (SELECT doc_id, line, string_agg(CASE WHEN pt IS NOT NULL AND x0 - px1 > 0.25 * ((px1 - px0) / greatest(1, length(pt))) THEN ' ' || t ELSE t END, '' ORDER BY i) AS text FROM k GROUP BY doc_id, line),
+b AS (SELECT doc_id, line, min(x0) AS x0, max(x1) AS x1, CAST(max(8 + i % 3) AS DOUBLE) AS size, bool_and(line % 2 = 0 OR i = 0) AS bold FROM c GROUP BY doc_id, line)
+SELECT doc_id AS doc, line, sha256({s_strip(sub("text", f"[{H}]+", "' '"))}) AS text, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, size, bold FROM j JOIN b USING (doc_id, line)""")
+def span_lines(spark, sf_dir):
+    """Every word of a line is a span; long ones reach into the next, and some hold a mark that is not seen."""
+    words = _doc_lines(spark, sf_dir).select("doc_id", "line", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    x0 = 100.0 * F.col("i")
+    spans = words.select(
+        F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("block"), "line", F.col("i").alias("span"), F.lit(0).alias("type"), F.concat("w", F.when(F.col("i") % 3 == 2, chr(173)).otherwise("")).alias("text"),
+        x0.alias("x0"), (x0 + 10 * F.length("w")).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"), (8.0 + F.col("i") % 3).alias("size"),
+        F.when(F.col("line") % 2 == 0, 16).otherwise(0).alias("flags"), F.when(F.col("i") == 0, "Some-BOLD").otherwise("Some").alias("font"),
+    )
+    return layout.span_lines(spans).select("doc", "line", F.sha2("text", 256).alias("text"), "x0", "x1", "size", "bold")
+
+
 _KEY = s_strip(sub("lower(" + s_clean("text") + ")", r"\p{Nd}+", "'#'"))
 _ZONE = "(y1 <= 0.12 * height OR y0 >= 0.88 * height)"
 _FURN = f"""{_GEO}, n AS (SELECT doc, count(*) AS n FROM pg GROUP BY doc HAVING count(*) >= 3),

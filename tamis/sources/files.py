@@ -36,7 +36,11 @@ def load(spark: SparkSession, path: str, paged_reader: paged.Reader | None = Non
     """Documents of all files below a path, and the files that were refused (path, reason).
 
     ``paged_reader`` decodes the bytes of paged files; without one they are refused by that reason."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return dispatch(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), paged_reader)
+
+
+def dispatch(files: DataFrame, paged_reader: paged.Reader | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same for files (path, length, content) that are read already."""
     known = ", ".join(suffixes())
     is_paged = suffix_of(F.col("path")).isin(*[s for s, r in READERS.items() if r is None])
     reason = (

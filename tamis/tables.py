@@ -39,8 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """URI of a fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/tamis/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder: computed once, whoever reads it."""
-    uri = f"{shared_folder(spark)}/tamis/{name}-{uuid.uuid4().hex[:12]}"
+    uri = scratch(spark, name)
     df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
