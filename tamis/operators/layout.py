@@ -7,8 +7,11 @@ one line back is a window; only reading order, which is recursive, runs in Pytho
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,17 +146,42 @@ def reading_order(box: np.ndarray, rtl: bool) -> list[int]:
     return bands(every, wide, 0)
 
 
-def in_reading_order(lines: DataFrame, rtl: bool = False) -> DataFrame:
-    """``seq``: place of each line when its page is read column by column.  A group is one page."""
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in lines.schema)}, seq int"
+def _page_starts(table: pa.Table) -> np.ndarray:
+    """Rows that begin a page, in a table sorted by doc and page."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for name in ("doc", "page"):
+        c = table.column(name).combine_chunks()
+        differ = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+        nulls = pc.is_null(c).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | (nulls[1:] != nulls[:-1])
+    return np.flatnonzero(new)
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line", kind="stable").reset_index(drop=True)
-        order = reading_order(page[["x0", "y0", "x1", "y1"]].to_numpy(float), rtl)
-        page.loc[order, "seq"] = np.arange(1, len(order) + 1)
-        return page.astype({"seq": "int32"})
 
-    return lines.groupBy("doc", "page").applyInPandas(run, schema)
+def in_reading_order(lines: DataFrame, rtl: bool = False) -> DataFrame:
+    """``seq``: place of each line when its page is read column by column.  Pages come as a stream, one or many a batch."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in lines.schema)}, seq int"
+
+    def ordered(table: pa.Table, starts: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        box = np.column_stack([table.column(k).to_numpy().astype(float) for k in ("x0", "y0", "x1", "y1")])
+        seq = np.zeros(end, np.int32)
+        for a, b in zip(starts, np.append(starts, end)[1:], strict=True):
+            seq[a:b][reading_order(box[a:b], rtl)] = np.arange(1, b - a + 1)
+        yield from table.slice(0, end).append_column("seq", pa.array(seq)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            starts = _page_starts(table)
+            if len(starts) > 1:  # the last page may go on in the next batch
+                yield from ordered(table, starts[:-1], int(starts[-1]))
+            held = table.slice(int(starts[-1])) if len(starts) else None
+        if held is not None and held.num_rows:
+            yield from ordered(held, np.array([0]), held.num_rows)
+
+    return lines.repartition("doc", "page").sortWithinPartitions("doc", "page", "line").mapInArrow(run, schema)
 
 
 # ---- paragraphs ----

@@ -120,6 +120,30 @@ def test_columns_are_read_one_after_the_other(spark):
         assert [r.text for r in got] == want
 
 
+def test_pages_in_a_stream(spark):
+    """Pages of several documents, one of them larger than a batch, in the order of each page alone."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for doc in ("a", "b", None):
+        for page, n in ((1, 30), (2, 1), (None, 40), (3, 7)):
+            x0 = rng.choice([40.0, 330.0], n)
+            y0 = rng.integers(0, 300, n).astype(float)
+            rows += [(doc, page, i, "t", float(x), float(y), float(x + w), float(y + 10), 10.0, False) for i, (x, y, w) in enumerate(zip(x0, y0, rng.integers(50, 240, n), strict=True))]
+    lines = spark.createDataFrame(rows, "doc string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+        got = {(r.doc, r.page, r.line): r.seq for r in layout.in_reading_order(lines, False).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows) and layout.in_reading_order(lines.limit(0)).count() == 0
+    pages = {(r[0], r[1]) for r in rows}
+    for doc, page in pages:
+        own = [r for r in rows if r[:2] == (doc, page)]
+        order = layout.reading_order(np.array([r[4:8] for r in own]), False)
+        assert [got[doc, page, own[i][2]] for i in order] == list(range(1, len(own) + 1))
+
+
 def test_gutter():
     assert layout.gutter(np.array([0.0] * 5), np.array([10.0] * 5)) is None
     x0 = np.array([0.0, 0, 0, 60, 60, 60])
