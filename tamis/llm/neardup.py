@@ -7,9 +7,14 @@
    So texts meet in the buckets of their minima (for one pair in 400,000 these all differ), where
    fingerprints are compared bit-sliced, within RADIUS.  Stars of such pairs give coarse groups.
 3. Inside coarse groups pairs within RADIUS are compared by their shingle sets; pairs that are already
-   connected are not compared again.  Groups beyond TILE texts are cut into tiles.
+   connected are not compared again.
 4. Components of the verified links are the groups.
 
+A bucket or coarse group beyond TILE texts is cut into tiles.  First each tile is compared in itself, then
+the least texts of all components that this leaves in the bucket with each other.  Only where several
+components remain do tiles meet, and never two of one component; so a group of near copies, however large,
+costs as much as its texts are many.
+
 Every row has a number of its own by which it is linked and removed; ids only choose who represents.
 
 Defined cases: a null text is empty; texts without words are one group; a text of fewer words than a
@@ -20,7 +25,7 @@ the first; an empty table has no groups; other columns, whatever their names, ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,23 +96,65 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, whole binary, bits binary, keys array<long>")
 
 
-def _coarse(nodes: DataFrame) -> DataFrame:
-    """Star edges between nodes that share a minimum and have fingerprints within the radius."""
-    keyed = nodes.select("node", "bits", F.posexplode("keys").alias("t", "key"))
-    tasks = spread(keyed, ["node", "bits"], "node", TILE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        node, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "job"))
-        order = np.lexsort((node, job))
-        node, job, bits = node[order], job[order], _unpacked(got)[order]
-        root = forest(bits, job, RADIUS)
-        own = np.flatnonzero(root != np.arange(len(node)))
-        yield pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
-
-    return tasks.repartition("job").mapInArrow(run, "a long, b long")
+Compare = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _links(spark: SparkSession, keyed: DataFrame, payload: list[str], compare: Compare) -> tuple[DataFrame, list[str]]:
+    """Edges (a, b) that connect what all pairs inside buckets (t, key) of ``keyed`` (node, payload) would; and folders in use.
+
+    ``compare`` gives such edges for the rows (payload, job) of each job."""
+    folder = shared.scratch(spark, "links")
+    run = lambda tasks: tasks.select(*payload, "job").repartition("job").mapInArrow(compare, "a long, b long")
+    bucket = ["t", "key"]
+    sizes = shared.table(spark, keyed.groupBy(*bucket).agg(F.count("*").alias("rows_there")).where("rows_there > 1"), f"{folder}/sizes")
+    hot = shared.table(spark, sizes.where(F.col("rows_there") > TILE), f"{folder}/hot")
+    tile = F.when(F.col("rows_there") > TILE, F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("rows_there") / TILE))).otherwise(F.lit(0))
+    one = run(keyed.join(sizes, bucket).withColumn("job", F.xxhash64("t", "key", tile)))
+    if hot.isEmpty():
+        return one, [folder]
+    one = shared.table(spark, one, f"{folder}/one")
+    star, made = components(spark, one)
+
+    def in_components(star: DataFrame, name: str) -> DataFrame:
+        """(node, t, key, component) of the rows of hot buckets."""
+        rows = keyed.select("node", *bucket).join(shared.broadcast_if_small(hot.select(*bucket)), bucket)
+        return shared.table(spark, rows.join(star, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{folder}/{name}")
+
+    least = in_components(star, "first").groupBy(*bucket, "component").agg(F.min("node").alias("node")).drop("component")
+    heads = spread(keyed.join(least, ["node", *bucket]), ["node", *[c for c in payload if c != "node"]], "node", TILE)
+    two = shared.table(spark, run(heads), f"{folder}/two")
+    edges = one.union(two)
+    star, more = components(spark, edges)
+    rows = in_components(star, "second")
+    # Where one component is left there is nothing to do; a large one has tiles of its own, small ones share some.
+    each = rows.groupBy(*bucket, "component").agg(F.count("*").alias("n"))
+    several = each.groupBy(*bucket).agg(F.count("*").alias("components"), F.sum(F.when(2 * F.col("n") < TILE, F.col("n")).otherwise(0)).alias("rest")).where("components > 1")
+    each = shared.table(spark, each.join(several, bucket), f"{folder}/each")
+    if each.isEmpty():
+        return edges, [folder, *made, *more]
+    own = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / TILE)))
+    mixed = F.pmod(F.xxhash64("component"), F.greatest(F.ceil(F.col("rest") / TILE), F.lit(1)))
+    large = 2 * F.col("n") >= TILE
+    placed = rows.join(each, [*bucket, "component"]).select("node", *bucket, F.when(large, own).otherwise(mixed).alias("tile"), F.when(large, F.col("component")).alias("whole"))
+    placed = shared.table(spark, placed, f"{folder}/placed")
+    tiles = placed.select(*bucket, "tile", "whole").distinct()
+    met = tiles.join(tiles.select(*bucket, F.col("tile").alias("other"), F.col("whole").alias("other_whole")), bucket).where("tile <= other and not coalesce(whole = other_whole, false)")
+    met = met.select(*bucket, F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"), F.xxhash64(*bucket, "tile", "other").alias("job"))
+    three = run(keyed.join(placed.join(met, [*bucket, "tile"]).select("node", *bucket, "job"), ["node", *bucket]))
+    return edges.union(three), [folder, *made, *more]
+
+
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Star edges between nodes of a job that have fingerprints within the radius."""
+    got = list(batches)
+    if not got:
+        return
+    node, job = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in ("node", "job"))
+    order = np.lexsort((node, job))
+    node, job, bits = node[order], job[order], _unpacked(got)[order]
+    root = forest(bits, job, RADIUS)
+    own = np.flatnonzero(root != np.arange(len(node)))
+    yield pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
 
 
 GRAMS = "node long, t int, key long, bits binary, n int, grams binary"
@@ -136,9 +183,8 @@ def _views(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
 
 
-def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
-    """Star edges of texts whose shingle sets are similar, inside each part."""
-    tasks = spread(shingled, ["node", "bits", "n", "grams"], "node", TILE)
+def _verified(similarity: float) -> Compare:
+    """Star edges of texts of a job whose shingle sets are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -170,7 +216,7 @@ def _verified(shingled: DataFrame, similarity: float) -> DataFrame:
         own = np.flatnonzero(top != np.arange(len(node)))
         yield pa.record_batch([pa.array(node[own]), pa.array(node[top[own]])], names=["a", "b"])
 
-    return tasks.repartition("job").mapInArrow(compare, "a long, b long")
+    return compare
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
@@ -190,22 +236,24 @@ def _groups(spark: SparkSession, rows: DataFrame, number: str, doc_id: str, text
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "whole", "row"))
     nodes = marks.groupBy("whole").agg(F.min("row").alias("node"), least.alias("least"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
     nodes = shared.table(spark, nodes, f"{folder}/nodes")
-    star, made = components(spark, _coarse(nodes))
+    keyed = nodes.select("node", "bits", F.posexplode("keys").alias("t", "key"))
+    near, used = _links(spark, keyed, ["node", "bits"], _coarse)
+    star, made = components(spark, near)
     tops = star.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()
     members = star.select("node", F.col("component").alias("part")).union(tops).join(nodes.select("node", "bits"), "node")
     members = shared.table(spark, members, f"{folder}/members")
     texts = own.join(shared.broadcast_if_small(members), F.col("row") == F.col("node")).select("node", "part", "bits", "text")
     sets = shared.table(spark, _shingled(texts, width), f"{folder}/sets")
-    links = shared.table(spark, _verified(sets, similarity), f"{folder}/links")
+    near, again = _links(spark, sets, ["node", "bits", "n", "grams"], _verified(similarity))
+    final, more = components(spark, near)
     shared.release(spark)
-    final, more = components(spark, links)
     joined = nodes.join(final, "node", "left").select("whole", "least", F.coalesce("component", nodes.node).alias("component"))
     heads = joined.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
     heads = shared.table(spark, heads, f"{folder}/heads")
     known = joined.join(shared.broadcast_if_small(heads), "component", "left").select("whole", F.coalesce("head", "least").alias("head"))
     found = marks.select("row", "id", "whole").join(known, "whole").select("row", "id", F.col("head.id").alias("component_id"), F.col("head.row").alias("first"))
     groups = shared.table(spark, found, f"{folder}/groups")
-    shared.drop(spark, *made, *more, *[f"{folder}/{x}" for x in ("nodes", "marks", "links", "sets", "members", "heads")])
+    shared.drop(spark, *made, *more, *used, *again, *[f"{folder}/{x}" for x in ("nodes", "marks", "sets", "members", "heads")])
     return groups
 
 

@@ -229,6 +229,32 @@ def test_near_groups(spark, odd, monkeypatch, tile):
     assert neardup.keep_one(spark, odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4, 16])
+def test_near_groups_of_many_different_copies(spark, monkeypatch, tile):
+    """Large groups of near copies that share buckets, chains between them, and unlike texts with the same passage."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    r = random.Random(tile)
+    docs, common = [], [f"common{k}" for k in range(30)]
+    for g in range(3):
+        base = common + [f"g{g}w{k}" for k in range(60)]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(r.randint(0, 2)):
+                t[r.randrange(len(t))] = f"x{r.random()}"
+            docs.append(" ".join(t))
+    chain = common + [f"c{k}" for k in range(60)]
+    for k in range(25):  # neighbours are alike, ends are not
+        chain[30 + 2 * k % 60] = f"new{k}"
+        docs.append(" ".join(chain))
+    docs += [" ".join(common + [f"u{i}w{k}" for k in range(r.randint(1, 40))]) for i in range(40)]
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute.jaccard_groups(docs)
+    assert max(collections.Counter(want.values()).values()) > tile
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(spark, frame).collect()} == want
+
+
 def test_near_groups_with_repeated_lines(spark):
     docs = []
     for i in range(12):  # the second text of each two says one line over and over: the sets stay alike
