@@ -260,7 +260,7 @@ _SUFFIX = "['.TXT', '.md', '.markdown', '.pdf', '.exe'][doc_id % 5 + 1]"
 @query(f"""WITH f AS (SELECT doc_id, 'file:///d/my__file-' || CAST(doc_id AS VARCHAR) || {_SUFFIX} AS path, doc_id % 5 AS kind, doc_id % 7 = 0 AS broken, replace(text, chr(10), chr(10) || ' ' || chr(10)) AS t FROM documents),
 r AS (SELECT *, CASE kind WHEN 4 THEN 'unknown suffix; known: .markdown, .md, .pdf, .txt' WHEN 3 THEN 'no reader of paged files is given' ELSE CASE WHEN broken THEN 'not UTF-8' END END AS reason FROM f)
 SELECT path, reason, CASE WHEN reason IS NULL THEN 'my file ' || CAST(doc_id AS VARCHAR) END AS title,
-CASE WHEN reason IS NULL THEN sha256(array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda p: {s_normalize("p")}), lambda p: p <> ''), chr(10) || chr(10))) END AS content FROM r""")
+CASE WHEN reason IS NULL THEN sha256(array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda p: {s_normalize("p")}), lambda p: p <> ''), chr(10) || chr(10))) END AS content FROM r""")
 def read_files(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".TXT", ".md", ".markdown", ".pdf", ".exe")]), (F.col("doc_id") % 5 + 1).cast("int"))
